@@ -193,13 +193,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(x.start.alias("start"), rank.alias("rank"), x.end.alias("end"), x.kind.alias("kind"))
 
     every = F.array_sort(F.transform(F.concat("base", "added"), order))
-    count = [
-        F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}")
-        for k in KINDS[:3]
-    ]
+    kinds = F.transform("base", lambda x: x.kind)
+
+    def count(k: str):
+        return F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}")
+
     return found.select(
         "doc_id",
-        *count,
+        *map(count, KINDS[:3]),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(every).alias("spans"),
     )
