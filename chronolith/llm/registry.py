@@ -11,13 +11,16 @@ from chronolith.llm.fingerprints import op3_fingerprints
 from chronolith.llm.secrets import op1_secrets
 from chronolith.llm.token_counts import op9_token_counts
 from chronolith.llm.toxicity import op10_toxicity
+from chronolith.llm.warc import ORACLE_SQL as WARC_SQL
+from chronolith.llm.warc import op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_fingerprints": op3_fingerprints,
+    "op5_warc": op5_warc,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": WARC_SQL}
