@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronolith.llm.bpe import op8_bpe
 from chronolith.llm.fingerprints import op3_fingerprints
+from chronolith.llm.ngram_join import op7_ngram_join
 from chronolith.llm.secrets import op1_secrets
 from chronolith.llm.token_counts import op9_token_counts
 from chronolith.llm.toxicity import op10_toxicity
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_fingerprints": op3_fingerprints,
     "op5_warc": op5_warc,
+    "op7_ngram_join": op7_ngram_join,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
