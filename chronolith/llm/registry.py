@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronolith.llm.bpe import op8_bpe
 from chronolith.llm.fingerprints import op3_fingerprints
+from chronolith.llm.line_dedup import ORACLE_SQL as LINES_SQL
+from chronolith.llm.line_dedup import op2_line_dedup
 from chronolith.llm.ngram_join import op7_ngram_join
 from chronolith.llm.secrets import op1_secrets
 from chronolith.llm.token_counts import op9_token_counts
@@ -17,6 +19,7 @@ from chronolith.llm.warc import op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op5_warc": op5_warc,
     "op7_ngram_join": op7_ngram_join,
@@ -25,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op5_warc": WARC_SQL}
