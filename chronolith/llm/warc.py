@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import shared_dir, table
+from chronolith.llm.common import shared_dir, stored, table
 
 #: Records in one archive file at most, so that a task reads a bounded file.
 RECORDS_PER_FILE = 1500
@@ -300,7 +300,8 @@ def assemble(records: DataFrame) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_captures(table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_records(spark, path, keep_payload=False))
+    # several joins read the records: the archives are parsed once
+    captures = assemble(stored(read_records(spark, path, keep_payload=False)))
     kind = table(spark, sf_dir, "pages").schema["page_id"].dataType
     captures = captures.select(
         F.try_element_at("metadata.fields", F.lit("page-id")).try_cast(kind).alias("page_id"),
