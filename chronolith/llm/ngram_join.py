@@ -3,7 +3,8 @@
 Two sets whose similarity reaches the threshold share a token among their
 first n - ceil(t n) + 1 tokens under every global order.  So prefixes are taken
 under several orders (rare tokens first, then by hashes that differ from order to
-order), and a pair is verified only if it shares prefix tokens under each.
+order), and a pair is verified only if it shares prefix tokens under each: one at
+least, or as many as the sizes of the two sets ask for.
 
 Documents with equal sets are one class from the start.  In a bucket (the
 classes that share a prefix token) each class is first compared with a hub, the
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import map_rows, semi_by_key, small, stored, table
@@ -35,6 +36,9 @@ FREQUENT = 1 << 18
 CHUNK, SEEN = 1 << 21, 3
 #: Parts that the bucket of a frequent token is dealt into.
 SALTS = 64
+#: Share of a document's prefix tokens whose bucket has one hub, from which on that pair is
+#: compared early; it saves work, the pairs left over are compared in any case.
+STAR = 0.1
 #: Words whose hashes and documents whose sets a worker keeps.
 CACHE_WORDS, CACHE_SETS = 400_000, 500
 
@@ -98,6 +102,18 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
 
+def needed(n: Column, m: Column, percent: int) -> Column:
+    """Prefix tokens that sets of ``n`` and ``m`` must share under each order, 1 at least.
+
+    Up to the nearer end of the two prefixes all shared tokens are in both;
+    behind it at most one set's rest is shared.  Together they must reach the
+    overlap that the threshold asks for.
+    """
+    overlap = F.ceil(percent * (n + m) / (100 + percent))
+    rest = F.ceil(percent * F.greatest(n, m) / 100) - 1
+    return F.greatest(F.lit(1), overlap - rest)
+
+
 def _scan(rows: DataFrame, n: int) -> DataFrame:
     """A row for each document (_id, size, key), and rows (token, count) of tokens
     that a task saw in several documents."""
@@ -194,8 +210,10 @@ def _entries(rows: DataFrame, n: int, percent: int, frequent: tuple) -> DataFram
     return map_rows(rows, run, "token long, salt int, node long, size int")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of a stored table whose documents' sets reach the threshold."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    texts = stored(semi_by_key(rows, ids, "_id").groupBy("_id").agg(F.min("_text").alias("_text")))
     both = pairs.join(texts.toDF("a", "_ta"), "a").join(texts.toDF("b", "_tb"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,22 +267,23 @@ def jaccard_components(
     member = found.where("_id is not null and size > 0").join(classes, ["key", "size"])
     member = stored(member.groupBy(F.col("_id").alias("node")).agg(F.min("rep").alias("rep")))
     of = F.broadcast(member) if small(member, 32, 16 << 20) else member
-    hub_of = of.toDF("hub", "hub_rep")
     hubs = stored(
         hubs.join(of, "node")
-        .join(hub_of, "hub")
+        .join(of.toDF("hub", "hub_rep"), "hub")
         .select("token", "salt", F.col("rep").alias("node"), F.col("hub_rep").alias("hub"), "size")
+        .distinct()
     )
     top = hubs.where("salt > 0").groupBy("token").agg(F.min("hub").alias("top"))
-    stars = hubs.select("node", "hub").union(
-        hubs.where("salt > 0").select("token", "hub").distinct().join(top, "token").select("hub", "top")
+    shared = (
+        hubs.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"), F.min("size").alias("size"))
+        .where(F.col("n") >= STAR * ORDERS * (F.col("size") * (100 - percent) / 100))
     )
-    stars = stored(stars.toDF("a", "b").where("a <> b").distinct())
-    # texts of the documents in buckets with others
-    ids = stored(hubs.select(F.col("node").alias("_id")).distinct())
-    texts = semi_by_key(rows, ids, "_id").groupBy("_id").agg(F.min("_text").alias("_text"))
-    texts = stored(texts)
-    links = stored(_verified(stars, texts, n, percent))
+    parts = hubs.where("salt > 0").select("token", "hub", "size").distinct().join(top, "token")
+    parts = parts.where("hub <> top").groupBy("hub", "top").agg(F.count("*").alias("n"), F.min("size").alias("size"))
+    parts = parts.where(F.col("n") >= STAR * ORDERS * (F.col("size") * (100 - percent) / 100))
+    stars = shared.select("node", "hub").union(parts.select("hub", "top")).toDF("a", "b")
+    stars = stored(stars.distinct())
+    links = stored(_verified(stars, rows, n, percent))
     near = components(links).toDF("node", "root")
     # what is left: pairs of a bucket in different components, under every order
     near = F.broadcast(near) if small(near, 32, 16 << 20) else near
@@ -288,16 +307,19 @@ def jaccard_components(
         & (F.col("x.node") < F.col("y.node"))
         & (F.col("x.root") != F.col("y.root"))
         & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")),
-    ).select(
-        F.col("x.node").alias("a"),
-        F.col("y.node").alias("b"),
-        F.expr(f"shiftleft(1, cast(x.token & {ORDERS - 1} as int)) as bit"),
     )
-    pairs = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits"))
-    pairs = pairs.where(F.col("bits") == (1 << ORDERS) - 1).select("a", "b")
+    x_size, y_size = F.col("x.size"), F.col("y.size")
+    counts = [
+        F.count(F.when(F.col("x.token").bitwiseAND(F.lit(ORDERS - 1)) == o, 1)).alias(f"n{o}")
+        for o in range(ORDERS)
+    ]
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+        F.min(needed(x_size, y_size, percent)).alias("least"), *counts
+    )
+    pairs = pairs.where(" and ".join(f"n{o} >= least" for o in range(ORDERS))).select("a", "b")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
-    links = links.union(_verified(pairs, texts, n, percent))
+    links = links.union(_verified(pairs, rows, n, percent))
     joined = components(links).toDF("rep", "root")
     out = (
         found.join(classes, ["key", "size"], "left")
