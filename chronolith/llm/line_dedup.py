@@ -37,7 +37,7 @@ def lines_of(text: Column) -> Column:
 
 def trimmed(line: Column) -> Column:
     """A line without white space at its ends; what lines are compared by."""
-    return F.regexp_replace(line, r"^[\s\x00]+|[\s\x00]+$", "")
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c\x00"))
 
 
 def occurrences(docs: DataFrame, least_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -50,38 +50,38 @@ def occurrences(docs: DataFrame, least_chars: int, id_col: str, text_col: str) -
     return rows.withColumn("id", F.xxhash64("line"))
 
 
-def segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
-    """(start, size) of the tau + 1 segments of a line of ``length``: even, longer ones last."""
-    n = tau + 1
-    size, longer = F.floor(length / n).cast("int"), F.pmod(length, F.lit(n))
-    out = []
-    for i in range(n):
-        extra = F.greatest(longer - (n - i), F.lit(0)) if i else F.lit(0)
-        out.append((size * i + extra, size + F.when(longer >= n - i, 1).otherwise(0)))
-    return out
-
+def add_keys(lines: DataFrame, tau: int) -> DataFrame:
+    """(id, key, own) from (id, line): what a line is indexed under (own) and probes.
 
-def keys(line: Column, tau: int) -> Column:
-    """array<struct<key, own>>: what a line is indexed under (own) and probes.
-
-    A key hashes the indexed length, the segment's number and its text.  The
+    A line of n characters has tau + 1 even segments, the longer ones last.  A
+    key hashes the indexed length, the segment's number and its text.  The
     places that a segment may have moved to are those from which the edits left
-    of it and those right of it can both be made up for.
+    of it and those right of it can both be made up for.  Lengths and starts
+    are columns of their own, so that each is computed once.
     """
-    n, out = F.char_length(line), []
-    for less in range(tau + 1):  # the indexed line is shorter by this
-        length = n - less
-        for i, (start, size) in enumerate(segments(length, tau)):
+    n, parts = "_n", tau + 1
+    lengths = {f"_base{k}": F.expr(f"cast((_n - {k}) div {parts} as int)") for k in range(parts)}
+    longer = {f"_more{k}": F.expr(f"cast(greatest(_n - {k}, 0) % {parts} as int)") for k in range(parts)}
+    lines = lines.withColumn(n, F.char_length("line")).withColumns(lengths | longer)
+    out = []
+    for less in range(parts):  # the indexed line is shorter by this
+        base, more = F.col(f"_base{less}"), F.col(f"_more{less}")
+        for i in range(parts):
+            start = base * i + F.greatest(more - (parts - i), F.lit(0))
+            size = base + F.when(more >= parts - i, 1).otherwise(0)
             low, high = max(-i, less - (tau - i)), min(i, less + (tau - i))
             for move in range(low, high + 1):
-                at = start + move
-                text = F.substring(line, at + 1, size)
-                row = F.struct(
-                    F.xxhash64(length, F.lit(i), text).alias("key"),
-                    F.lit(less == 0 and move == 0).alias("own"),
-                )
-                out.append(F.when((at >= 0) & (at + size <= n), row))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                text = F.substring(F.col("line"), start + (move + 1), size)
+                inside = (start + move >= 0) & (start + move + size <= F.col(n)) & (size > 0)
+                key = F.when(inside, F.xxhash64(F.col(n) - less, F.lit(i), text))
+                out.append(F.struct(key.alias("key"), F.lit(less == 0 and move == 0).alias("own")))
+    return (
+        lines.select("id", F.array(*out).alias("_keys"))
+        # explode() would have the whole array computed in a filter first
+        .select("id", F.explode_outer("_keys").alias("_k"))
+        .select("id", "_k.key", "_k.own")
+        .where("key is not null")
+    )
 
 
 def let(value: Column, body) -> Column:
@@ -90,7 +90,7 @@ def let(value: Column, body) -> Column:
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
-    """Whether two arrays of characters are within ``tau`` edits of each other.
+    """Whether two arrays of code points are within ``tau`` edits of each other.
 
     Bit t of the band stands, in column j (b's character j), for row
     j - tau + t (a's character).  vp and vn hold the rows whose value is one more or
@@ -143,10 +143,9 @@ def within(a: Column, b: Column, tau: int) -> Column:
     return F.when(F.abs(shift) > tau, F.lit(False)).otherwise(distance <= tau)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
-    """The pairs (a, b) of line ids within ``tau`` edits."""
-    both = pairs.join(texts.toDF("a", "_la"), "a").join(texts.toDF("b", "_lb"), "b")
-    both = both.select("a", "b", F.split("_la", "").alias("_ca"), F.split("_lb", "").alias("_cb"))
+def verified(pairs: DataFrame, chars: DataFrame, tau: int) -> DataFrame:
+    """The pairs (a, b) of line ids within ``tau`` edits; ``chars`` is a stored table."""
+    both = pairs.join(chars.toDF("a", "_ca"), "a").join(chars.toDF("b", "_cb"), "b")
     return both.where(within(F.col("_ca"), F.col("_cb"), tau)).select("a", "b")
 
 
@@ -163,9 +162,7 @@ def line_links(docs: DataFrame, tau: int, least_chars: int, id_col: str, text_co
     once = lines.join(F.broadcast(often) if small(often, 48, BYTES) else often, "id", "left").where(
         "first_doc is null or (first_doc = doc and first_pos = pos)"
     )
-    entries = once.select("id", F.explode(keys(F.col("line"), tau)).alias("_k")).select(
-        "id", "_k.key", "_k.own"
-    )
+    entries = add_keys(once.select("id", "line"), tau)
     bucket = Window.partitionBy("key")
     own = F.when(F.col("own"), F.col("id"))
     found = entries.withColumns(
@@ -178,9 +175,9 @@ def line_links(docs: DataFrame, tau: int, least_chars: int, id_col: str, text_co
     found = stored(found.select("key", "id", "own", "hub"))
     stars = stored(found.select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct())
     ids = stored(found.select("id").distinct())
-    texts = semi_by_key(lines.select("id", "line"), ids, "id").groupBy("id").agg(F.min("line").alias("line"))
-    texts = stored(texts)
-    links = stored(verified(stars, texts, tau))
+    chars = semi_by_key(lines.select("id", "line"), ids, "id").groupBy("id").agg(F.min("line").alias("line"))
+    chars = stored(chars.select("id", F.transform(F.split("line", ""), F.ascii).alias("chars")))
+    links = stored(verified(stars, chars, tau))
     near = components(links).toDF("id", "root")
     near = F.broadcast(near) if small(near, 32, BYTES) else near
     placed = found.join(near, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -200,7 +197,7 @@ def line_links(docs: DataFrame, tau: int, least_chars: int, id_col: str, text_co
     )
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
-    return places, components(links.union(verified(pairs, texts, tau)))
+    return places, components(links.union(verified(pairs, chars, tau)))
 
 
 def dropped_lines(
