@@ -33,12 +33,14 @@ ORDERS = 2
 #: Most tokens in the table that puts frequent tokens last; it steers the order, never the result.
 FREQUENT = 1 << 18
 #: Counts of a token within so many tokens of a task that make it worth counting.
-CHUNK, SEEN = 1 << 21, 3
+CHUNK, SEEN = 1 << 21, 2
 #: Parts that the bucket of a frequent token is dealt into.
 SALTS = 64
 #: Share of a document's prefix tokens whose bucket has one hub, from which on that pair is
 #: compared early; it saves work, the pairs left over are compared in any case.
 STAR = 0.1
+#: Documents from which on a bucket gets more hubs, and rounds of one more hub each.
+WIDE, ROUNDS = 32, 2
 #: Words whose hashes and documents whose sets a worker keeps.
 CACHE_WORDS, CACHE_SETS = 400_000, 500
 
@@ -166,9 +168,9 @@ def _frequent(scan: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nda
 
 
 def _entries(rows: DataFrame, n: int, percent: int, frequent: tuple) -> DataFrame:
-    """(token, salt, node, size): the prefix tokens of a task's distinct sets.
+    """(token, salt, node, size, place): the prefix tokens of a task's distinct sets.
 
-    The lowest bit of a token tells its order.  The bucket of a frequent token
+    ``place`` counts a document's tokens in the order from 1.  The lowest bit of a token tells its order.  The bucket of a frequent token
     is dealt into salted parts.
     """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
@@ -192,7 +194,8 @@ def _entries(rows: DataFrame, n: int, percent: int, frequent: tuple) -> DataFram
                 p = prefix_size(len(x), percent)
                 for order in range(ORDERS):
                     place = (high << _U(57)) | (mixed(x, order + 1) >> _U(7))
-                    first = np.argpartition(place, p - 1)[:p] if p < len(x) else slice(None)
+                    first = np.argpartition(place, p - 1)[:p] if p < len(x) else np.arange(p)
+                    first = first[np.argsort(place[first])]
                     token = (x[first] & ~_U(1)) | _U(order)
                     salt = np.where(high[first] > 0, 1 + hash(node) % SALTS, 0)
                     out.append((token.view(np.int64), salt, node, len(x)))
@@ -204,10 +207,11 @@ def _entries(rows: DataFrame, n: int, percent: int, frequent: tuple) -> DataFram
                         "salt": np.concatenate([s for _, s, *_ in out]).astype(np.int32),
                         "node": np.repeat(np.array([o[2] for o in out]), size),
                         "size": np.repeat(np.array([o[3] for o in out], dtype=np.int32), size),
+                        "place": np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in size]),
                     }
                 )
 
-    return map_rows(rows, run, "token long, salt int, node long, size int")
+    return map_rows(rows, run, "token long, salt int, node long, size int, place int")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -234,6 +238,35 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFr
     return map_rows(both, run, "a long, b long")
 
 
+def _stars(entries: DataFrame, node: str, hub: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of a node and a hub that share a good part of the node's prefixes."""
+    return (
+        entries.where(F.col(node) != F.col(hub))
+        .groupBy(F.col(node).alias("a"), F.col(hub).alias("b"))
+        .agg(F.count("*").alias("n"), F.min("size").alias("size"))
+        .where(F.col("n") >= STAR * ORDERS * (F.col("size") * (100 - percent) / 100))
+        .select("a", "b")
+    )
+
+
+def _mixed(entries: DataFrame, near: DataFrame) -> DataFrame:
+    """Entries with their component, in buckets that hold more than one; stored."""
+    near = F.broadcast(near) if small(near, 32, 16 << 20) else near
+    placed = stored(
+        entries.select("token", "node", "size", "place")
+        .distinct()
+        .join(near, "node", "left")
+        .withColumn("root", F.coalesce("root", "node"))
+    )
+    several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return stored(placed.join(several.where("low < high").select("token"), "token"))
+
+
+def _wide(placed: DataFrame) -> DataFrame:
+    """Tokens whose bucket holds at least ``WIDE`` documents."""
+    return placed.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= WIDE).select("token")
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -270,53 +303,65 @@ def jaccard_components(
     hubs = stored(
         hubs.join(of, "node")
         .join(of.toDF("hub", "hub_rep"), "hub")
-        .select("token", "salt", F.col("rep").alias("node"), F.col("hub_rep").alias("hub"), "size")
+        .select("token", "salt", F.col("rep").alias("node"), F.col("hub_rep").alias("hub"), "size", "place")
         .distinct()
     )
     top = hubs.where("salt > 0").groupBy("token").agg(F.min("hub").alias("top"))
-    shared = (
-        hubs.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"), F.min("size").alias("size"))
-        .where(F.col("n") >= STAR * ORDERS * (F.col("size") * (100 - percent) / 100))
-    )
     parts = hubs.where("salt > 0").select("token", "hub", "size").distinct().join(top, "token")
-    parts = parts.where("hub <> top").groupBy("hub", "top").agg(F.count("*").alias("n"), F.min("size").alias("size"))
-    parts = parts.where(F.col("n") >= STAR * ORDERS * (F.col("size") * (100 - percent) / 100))
-    stars = shared.select("node", "hub").union(parts.select("hub", "top")).toDF("a", "b")
+    stars = _stars(hubs, "node", "hub", percent).union(_stars(parts, "hub", "top", percent))
     stars = stored(stars.distinct())
     links = stored(_verified(stars, rows, n, percent))
     near = components(links).toDF("node", "root")
-    # what is left: pairs of a bucket in different components, under every order
-    near = F.broadcast(near) if small(near, 32, 16 << 20) else near
-    placed = stored(
-        hubs.select("token", "node", "size")
-        .distinct()
-        .join(near, "node", "left")
-        .select("token", "node", "size", F.coalesce("root", "node").alias("root"))
-    )
-    mixed_tokens = (
-        placed.groupBy("token")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low < high")
-        .select("token")
-    )
-    placed = stored(placed.join(mixed_tokens, "token"))
-    x, y = placed.alias("x"), placed.alias("y")
+    entries = hubs.select("token", "node", "size", "place")
+    placed = _mixed(entries, near)
+    # more hubs for the buckets with many documents, which are few
+    wide = stored(placed.join(_wide(placed), "token").drop("root"))
+    for r in range(ROUNDS):
+        part = _mixed(wide, near)
+        hub = part.groupBy("token").agg(
+            F.min_by("node", F.xxhash64("node", F.lit(r))).alias("hub"),
+            F.min_by("root", F.xxhash64("node", F.lit(r))).alias("hub_root"),
+        )
+        part = part.join(hub, "token").where("root <> hub_root")
+        more = stored(_stars(part, "node", "hub", percent).join(stars, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        stars = stored(stars.union(more))
+        links = stored(links.union(_verified(more, rows, n, percent)))
+        near = components(links).toDF("node", "root")
+    # what is left: pairs of a bucket in different components
+    placed = _mixed(entries, near)
+    x, y = (placed.where(F.col("token").bitwiseAND(F.lit(ORDERS - 1)) == 0).alias(k) for k in "xy")
+    overlap = F.ceil(percent * (F.col("x.size") + F.col("y.size")) / (100 + percent))
     pairs = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.node") < F.col("y.node"))
         & (F.col("x.root") != F.col("y.root"))
-        & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")),
+        # the first token that they share leaves room for the overlap asked for
+        & (F.col("x.place") <= F.col("x.size") - overlap + 1)
+        & (F.col("y.place") <= F.col("y.size") - overlap + 1),
     )
-    x_size, y_size = F.col("x.size"), F.col("y.size")
-    counts = [
-        F.count(F.when(F.col("x.token").bitwiseAND(F.lit(ORDERS - 1)) == o, 1)).alias(f"n{o}")
-        for o in range(ORDERS)
-    ]
     pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.min(needed(x_size, y_size, percent)).alias("least"), *counts
+        F.min(needed(F.col("x.size"), F.col("y.size"), percent)).alias("least")
+    )
+    # the tokens of a document's prefixes that others share, by order
+    prefixes = stored(
+        placed.groupBy("node").agg(
+            *[
+                F.collect_set(
+                    F.when(F.col("token").bitwiseAND(F.lit(ORDERS - 1)) == o, F.col("token"))
+                ).alias(f"t{o}")
+                for o in range(ORDERS)
+            ]
+        )
     )
-    pairs = pairs.where(" and ".join(f"n{o} >= least" for o in range(ORDERS))).select("a", "b")
+    names = [f"t{o}" for o in range(ORDERS)]
+    pairs = pairs.join(prefixes.toDF("a", *[f"a{k}" for k in names]), "a")
+    pairs = pairs.join(prefixes.toDF("b", *[f"b{k}" for k in names]), "b")
+    for k in names:
+        pairs = pairs.where(F.size(F.array_intersect(f"a{k}", f"b{k}")) >= F.col("least"))
+    pairs = pairs.select("a", "b")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
     links = links.union(_verified(pairs, rows, n, percent))
