@@ -33,16 +33,16 @@ ORDERS = 2
 #: Most tokens in the table that puts frequent tokens last; it steers the order, never the result.
 FREQUENT = 1 << 18
 #: Counts of a token within so many tokens of a task that make it worth counting.
-CHUNK, SEEN = 1 << 21, 2
-#: Parts that the bucket of a frequent token is dealt into.
-SALTS = 64
+CHUNK, SEEN = 1 << 20, 2
+#: Parts that the bucket of a frequent token is dealt into, and how its tokens show them.
+SALTS, SALTED, PART = 64, 2, 0xFC
 #: Share of a document's prefix tokens whose bucket has one hub, from which on that pair is
 #: compared early; it saves work, the pairs left over are compared in any case.
 STAR = 0.1
 #: Documents from which on a bucket gets more hubs, and rounds of one more hub each.
 WIDE, ROUNDS = 32, 2
 #: Words whose hashes and documents whose sets a worker keeps.
-CACHE_WORDS, CACHE_SETS = 400_000, 500
+CACHE_WORDS, CACHE_SETS = 200_000, 300
 
 _U = np.uint64
 _MIX = (_U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53))
@@ -168,10 +168,11 @@ def _frequent(scan: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nda
 
 
 def _entries(rows: DataFrame, n: int, percent: int, frequent: tuple) -> DataFrame:
-    """(token, salt, node, size, place): the prefix tokens of a task's distinct sets.
+    """(token, node, spot): the prefix tokens of a task's distinct sets.
 
-    ``place`` counts a document's tokens in the order from 1.  The lowest bit of a token tells its order.  The bucket of a frequent token
-    is dealt into salted parts.
+    The lowest bit of a token tells its order.  The bucket of a frequent token
+    is dealt into parts, which the bits ``PART`` of the token tell, below
+    ``SALTED``.  ``spot`` holds the place in the order (from 1) above the set's size.
     """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
@@ -196,22 +197,23 @@ def _entries(rows: DataFrame, n: int, percent: int, frequent: tuple) -> DataFram
                     place = (high << _U(57)) | (mixed(x, order + 1) >> _U(7))
                     first = np.argpartition(place, p - 1)[:p] if p < len(x) else np.arange(p)
                     first = first[np.argsort(place[first])]
-                    token = (x[first] & ~_U(1)) | _U(order)
-                    salt = np.where(high[first] > 0, 1 + hash(node) % SALTS, 0)
-                    out.append((token.view(np.int64), salt, node, len(x)))
+                    x_first, often = x[first], high[first] > 0
+                    rare = (x_first & ~_U(3)) | _U(order)
+                    part = _U(SALTED | order | (hash(node) % SALTS) << 2)
+                    token = np.where(often, (x_first & ~_U(PART | 3)) | part, rare)
+                    out.append((token.view(np.int64), node, len(x)))
             if out:
                 size = [len(t) for t, *_ in out]
+                place = np.concatenate([np.arange(1, k + 1) for k in size])
                 yield pd.DataFrame(
                     {
                         "token": np.concatenate([t for t, *_ in out]),
-                        "salt": np.concatenate([s for _, s, *_ in out]).astype(np.int32),
-                        "node": np.repeat(np.array([o[2] for o in out]), size),
-                        "size": np.repeat(np.array([o[3] for o in out], dtype=np.int32), size),
-                        "place": np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in size]),
+                        "node": np.repeat(np.array([o[1] for o in out]), size),
+                        "spot": np.repeat(np.array([o[2] for o in out]), size) | place << 32,
                     }
                 )
 
-    return map_rows(rows, run, "token long, salt int, node long, size int, place int")
+    return map_rows(rows, run, "token long, node long, spot long")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -293,9 +295,17 @@ def jaccard_components(
     )
     entries = _entries(rows.where("_id is not null"), n, percent, _frequent(scan))
     # the hub of each bucket, or of each part of a frequent token's bucket
-    bucket = Window.partitionBy("token", "salt")
+    bucket = Window.partitionBy("token")
     hubs = entries.withColumns({"hub": F.min("node").over(bucket), "top": F.max("node").over(bucket)})
-    hubs = hubs.where("salt > 0 or hub < top").drop("top")
+    salted = F.col("token").bitwiseAND(F.lit(SALTED)) != 0
+    hubs = hubs.where(salted | (F.col("hub") < F.col("top"))).select(
+        F.when(salted, F.col("token").bitwiseAND(F.lit(~PART))).otherwise(F.col("token")).alias("token"),
+        salted.alias("salted"),
+        "node",
+        "hub",
+        F.col("spot").cast("int").alias("size"),
+        F.shiftright("spot", 32).cast("int").alias("place"),
+    )
     # documents with equal sets stand for each other
     member = found.where("_id is not null and size > 0").join(classes, ["key", "size"])
     member = stored(member.groupBy(F.col("_id").alias("node")).agg(F.min("rep").alias("rep")))
@@ -303,11 +313,11 @@ def jaccard_components(
     hubs = stored(
         hubs.join(of, "node")
         .join(of.toDF("hub", "hub_rep"), "hub")
-        .select("token", "salt", F.col("rep").alias("node"), F.col("hub_rep").alias("hub"), "size", "place")
+        .select("token", "salted", F.col("rep").alias("node"), F.col("hub_rep").alias("hub"), "size", "place")
         .distinct()
     )
-    top = hubs.where("salt > 0").groupBy("token").agg(F.min("hub").alias("top"))
-    parts = hubs.where("salt > 0").select("token", "hub", "size").distinct().join(top, "token")
+    top = hubs.where("salted").groupBy("token").agg(F.min("hub").alias("top"))
+    parts = hubs.where("salted").select("token", "hub", "size").distinct().join(top, "token")
     stars = _stars(hubs, "node", "hub", percent).union(_stars(parts, "hub", "top", percent))
     stars = stored(stars.distinct())
     links = stored(_verified(stars, rows, n, percent))
