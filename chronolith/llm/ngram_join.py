@@ -303,7 +303,7 @@ def jaccard_components(
         salted.alias("salted"),
         "node",
         "hub",
-        F.col("spot").cast("int").alias("size"),
+        F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("size"),
         F.shiftright("spot", 32).cast("int").alias("place"),
     )
     # documents with equal sets stand for each other
