@@ -143,10 +143,28 @@ def within(a: Column, b: Column, tau: int) -> Column:
     return F.when(F.abs(shift) > tau, F.lit(False)).otherwise(distance <= tau)
 
 
+#: Groups of characters that are counted; the counts of a line are its bag.
+GROUPS = ("e", "t", "a", "o", "n", "i", "rs", "hld")
+
+
+def bag(line: Column) -> Column:
+    """How many characters of each group a line has."""
+    n = F.char_length(line)
+    return F.array(*[n - F.char_length(F.translate(line, g, "")) for g in GROUPS])
+
+
+def bags_near(x: Column, y: Column, tau: int) -> Column:
+    """Whether two bags allow ``tau`` edits: an edit changes two counts by one at most."""
+    apart = [F.abs(F.get(x, F.lit(k)) - F.get(y, F.lit(k))) for k in range(len(GROUPS))]
+    return sum(apart[1:], apart[0]) <= 2 * tau
+
+
 def verified(pairs: DataFrame, chars: DataFrame, tau: int) -> DataFrame:
-    """The pairs (a, b) of line ids within ``tau`` edits; ``chars`` is a stored table."""
-    both = pairs.join(chars.toDF("a", "_ca"), "a").join(chars.toDF("b", "_cb"), "b")
-    return both.where(within(F.col("_ca"), F.col("_cb"), tau)).select("a", "b")
+    """The pairs (a, b) of line ids within ``tau`` edits; ``chars`` is a stored table
+    (id, chars, bag).  Bags that are too far apart spare the computation."""
+    both = pairs.join(chars.toDF("a", "_ca", "_ba"), "a").join(chars.toDF("b", "_cb", "_bb"), "b")
+    near = bags_near(F.col("_ba"), F.col("_bb"), tau)
+    return both.where(F.when(near, within(F.col("_ca"), F.col("_cb"), tau)).otherwise(False)).select("a", "b")
 
 
 def line_links(docs: DataFrame, tau: int, least_chars: int, id_col: str, text_col: str):
@@ -176,7 +194,9 @@ def line_links(docs: DataFrame, tau: int, least_chars: int, id_col: str, text_co
     stars = stored(found.select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct())
     ids = stored(found.select("id").distinct())
     chars = semi_by_key(lines.select("id", "line"), ids, "id").groupBy("id").agg(F.min("line").alias("line"))
-    chars = stored(chars.select("id", F.transform(F.split("line", ""), F.ascii).alias("chars")))
+    chars = stored(
+        chars.select("id", F.transform(F.split("line", ""), F.ascii).alias("chars"), bag(F.col("line")).alias("bag"))
+    )
     links = stored(verified(stars, chars, tau))
     near = components(links).toDF("id", "root")
     near = F.broadcast(near) if small(near, 32, BYTES) else near
@@ -188,10 +208,12 @@ def line_links(docs: DataFrame, tau: int, least_chars: int, id_col: str, text_co
         .where("l < h and hub < o")
         .select("key")
     )
-    placed = stored(placed.join(open_keys, "key").select("key", "id", "own", "root").distinct())
+    placed = placed.join(open_keys, "key").select("key", "id", "own", "root").distinct()
+    placed = stored(placed.join(chars.select("id", "bag"), "id"))
     x, y = placed.where("own").alias("x"), placed.alias("y")
+    near = bags_near(F.col("x.bag"), F.col("y.bag"), tau)
     pairs = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near)
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
     )
