@@ -41,6 +41,8 @@ SALTS, SALTED, PART = 64, 2, 0xFC
 STAR = 0.1
 #: Documents from which on a bucket gets more hubs, and rounds of one more hub each.
 WIDE, ROUNDS = 32, 2
+#: Of the documents in those buckets, one in so many is then compared with all others.
+SAMPLE = 8
 #: Words whose hashes and documents whose sets a worker keeps.
 CACHE_WORDS, CACHE_SETS = 200_000, 300
 
@@ -254,16 +256,33 @@ def _stars(entries: DataFrame, node: str, hub: str, percent: int) -> DataFrame:
 def _mixed(entries: DataFrame, near: DataFrame) -> DataFrame:
     """Entries with their component, in buckets that hold more than one; stored."""
     near = F.broadcast(near) if small(near, 32, 16 << 20) else near
-    placed = stored(
-        entries.select("token", "node", "size", "place")
-        .distinct()
-        .join(near, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-    )
+    placed = entries.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     return stored(placed.join(several.where("low < high").select("token"), "token"))
 
 
+def _pairs(left: DataFrame, right: DataFrame, percent: int, once: bool) -> DataFrame:
+    """(a, b, least): documents in different components that share one of the tokens which can
+    be the first that they share, under the first order; a row for each such token, and
+    with ``once`` for one direction of a pair."""
+    x = left.where(F.col("token").bitwiseAND(F.lit(ORDERS - 1)) == 0).alias("x")
+    y = right.where(F.col("token").bitwiseAND(F.lit(ORDERS - 1)) == 0).alias("y")
+    overlap = F.ceil(percent * (F.col("x.size") + F.col("y.size")) / (100 + percent))
+    return x.join(
+        y,
+        (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.root") != F.col("y.root"))
+        & ((F.col("x.node") < F.col("y.node")) if once else F.lit(True))
+        # the first token that they share leaves room for the overlap asked for
+        & (F.col("x.place") <= F.col("x.size") - overlap + 1)
+        & (F.col("y.place") <= F.col("y.size") - overlap + 1),
+    ).select(
+        F.col("x.node").alias("a"),
+        F.col("y.node").alias("b"),
+        needed(F.col("x.size"), F.col("y.size"), percent).alias("least"),
+    )
+
+
 def _wide(placed: DataFrame) -> DataFrame:
     """Tokens whose bucket holds at least ``WIDE`` documents."""
     return placed.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= WIDE).select("token")
@@ -299,8 +318,7 @@ def jaccard_components(
     hubs = entries.withColumns({"hub": F.min("node").over(bucket), "top": F.max("node").over(bucket)})
     salted = F.col("token").bitwiseAND(F.lit(SALTED)) != 0
     hubs = hubs.where(salted | (F.col("hub") < F.col("top"))).select(
-        F.when(salted, F.col("token").bitwiseAND(F.lit(~PART))).otherwise(F.col("token")).alias("token"),
-        salted.alias("salted"),
+        "token",
         "node",
         "hub",
         F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("size"),
@@ -310,20 +328,25 @@ def jaccard_components(
     member = found.where("_id is not null and size > 0").join(classes, ["key", "size"])
     member = stored(member.groupBy(F.col("_id").alias("node")).agg(F.min("rep").alias("rep")))
     of = F.broadcast(member) if small(member, 32, 16 << 20) else member
-    hubs = stored(
-        hubs.join(of, "node")
-        .join(of.toDF("hub", "hub_rep"), "hub")
-        .select("token", "salted", F.col("rep").alias("node"), F.col("hub_rep").alias("hub"), "size", "place")
-        .distinct()
+    # rows are still dealt out by token, so equal ones are told apart without a shuffle
+    hubs = hubs.join(of, "node").join(of.toDF("hub", "hub_rep"), "hub").select(
+        "token", F.col("rep").alias("node"), F.col("hub_rep").alias("hub"), "size", "place"
     )
+    hubs = stored(
+        hubs.distinct().select(
+            F.when(salted, F.col("token").bitwiseAND(F.lit(~PART))).otherwise(F.col("token")).alias("token"),
+            salted.alias("salted"), "node", "hub", "size", "place",
+        )
+    )
     top = hubs.where("salted").groupBy("token").agg(F.min("hub").alias("top"))
     parts = hubs.where("salted").select("token", "hub", "size").distinct().join(top, "token")
     stars = _stars(hubs, "node", "hub", percent).union(_stars(parts, "hub", "top", percent))
     stars = stored(stars.distinct())
     links = stored(_verified(stars, rows, n, percent))
     near = components(links).toDF("node", "root")
-    entries = hubs.select("token", "node", "size", "place")
-    placed = _mixed(entries, near)
+    columns = ["token", "node", "size", "place"]
+    entries = hubs.where("not salted").select(*columns)
+    placed = _mixed(entries.union(hubs.where("salted").select(*columns).distinct()), near)
     # more hubs for the buckets with many documents, which are few
     wide = stored(placed.join(_wide(placed), "token").drop("root"))
     for r in range(ROUNDS):
@@ -339,22 +362,19 @@ def jaccard_components(
         stars = stored(stars.union(more))
         links = stored(links.union(_verified(more, rows, n, percent)))
         near = components(links).toDF("node", "root")
-    # what is left: pairs of a bucket in different components
-    placed = _mixed(entries, near)
-    x, y = (placed.where(F.col("token").bitwiseAND(F.lit(ORDERS - 1)) == 0).alias(k) for k in "xy")
-    overlap = F.ceil(percent * (F.col("x.size") + F.col("y.size")) / (100 + percent))
-    pairs = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.node") < F.col("y.node"))
-        & (F.col("x.root") != F.col("y.root"))
-        # the first token that they share leaves room for the overlap asked for
-        & (F.col("x.place") <= F.col("x.size") - overlap + 1)
-        & (F.col("y.place") <= F.col("y.size") - overlap + 1),
-    )
-    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.min(needed(F.col("x.size"), F.col("y.size"), percent)).alias("least")
-    )
+    # then a part of the pairs in those buckets: most documents that hubs missed find a link
+    part = _mixed(wide, near)
+    sample = part.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
+    more = _pairs(part, sample, percent, once=False).groupBy("a", "b")
+    more = more.agg(F.count("*").alias("n"), F.min("least").alias("least")).where("8 * n >= least")
+    more = stored(more.select("a", "b").join(stars, ["a", "b"], "left_anti"))
+    stars = stored(stars.union(more))
+    links = stored(links.union(_verified(more, rows, n, percent)))
+    near = components(links).toDF("node", "root")
+    # what is left: every pair of a bucket in different components
+    placed = _mixed(placed.drop("root"), near)
+    pairs = _pairs(placed, placed, percent, once=True)
+    pairs = pairs.groupBy("a", "b").agg(F.min("least").alias("least"))
     # the tokens of a document's prefixes that others share, by order
     prefixes = stored(
         placed.groupBy("node").agg(

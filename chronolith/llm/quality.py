@@ -30,6 +30,8 @@ SAMPLE_ROWS = 20_000
 KEEP = 0.3
 #: Marks whose share among a text's bytes is a feature each.
 MARKS = b"|%&$*#!?.,;:-_/\\<>{}[]()=+@\"'`~^"
+#: Features of a text.
+WIDTH = len(MARKS) + 11
 #: Bytes from which on a table of site posteriors is joined by shuffle.
 BYTES = 8 << 20
 
@@ -39,7 +41,7 @@ def features(text: str | None) -> list[float]:
     data = (text or "").encode("utf-8")
     words = data.split()
     if not words:
-        return [0.0] * (len(MARKS) + 11)
+        return [0.0] * WIDTH
     count = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     n, k = len(data), len(words)
     upper, lower = int(count[65:91].sum()), int(count[97:123].sum())
@@ -77,7 +79,7 @@ class Classifier:
 
 def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Classifier:
     """Newton's method with a ridge; without both classes there is no evidence."""
-    width = len(features(None))
+    width = WIDTH
     if len(set(y.tolist())) < 2:
         return Classifier(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
     mean, scale = x.mean(0), x.std(0)
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
         .toPandas()
     )
     y = rows["quality"].to_numpy(dtype=float)
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(y), -1)
+    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(y), WIDTH)
     return train(x, y), float((y.sum() + 1) / (len(y) + 2))
 
 
@@ -145,7 +147,7 @@ def evidence_column(spark: SparkSession, model: Classifier):
     @F.pandas_udf("double")
     def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in batches:
-            x = np.array([features(t) for t in text]).reshape(len(text), -1)
+            x = np.array([features(t) for t in text]).reshape(len(text), WIDTH)
             yield pd.Series(shared.value.evidence(x))
 
     return evidence
