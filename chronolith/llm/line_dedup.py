@@ -144,7 +144,7 @@ def within(a: Column, b: Column, tau: int) -> Column:
 
 
 #: Groups of characters that are counted; the counts of a line are its bag.
-GROUPS = ("e", "t", "a", "o", "n", "i", "rs", "hld")
+GROUPS = ("e", "t", "a", "o", "n", "i", "r", "s", "h", "l", "d", "uw", "bgc", "mpyf", ".", ",", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", " ")
 
 
 def bag(line: Column) -> Column:
