@@ -83,9 +83,8 @@ def test_token_counts_at_every_prefix(spark, sf_dir):
         assert got[-1] == count(t or "")
     for t in ("the unbelievable word's 12 end", "aab abab zz\n<|endoftext|> x", "naïve façade été"):
         (got,) = own.prefix_counts([t])
-        assert [count(t[:k]) for k in range(len(t) + 1) if "<|" not in t[:k] or ">" in t[:k]] == [
-            int(got[k]) for k in range(len(t) + 1) if "<|" not in t[:k] or ">" in t[:k]
-        ]
+        whole = [k for k in range(len(t) + 1) if "<" not in t[:k] or ">" in t[:k]]  # not inside a special string
+        assert [count(t[:k]) for k in whole] == [int(got[k]) for k in whole]
 
 
 def test_token_budget(spark):
@@ -100,9 +99,11 @@ def test_token_budget(spark):
 
 def test_toxicity_on_held_out_rows(spark):
     rng, bad = random.Random(3), ["vileword", "nastything", "awfulness"]
+    parts = ("ka", "lo", "mi", "ne", "pu", "ra", "se", "ti", "vo", "zu")
+    plain = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 4))) for _ in range(300)]
     rows, labels = [], []
     for k in range(600):
-        words = [f"w{rng.randrange(300)}" for _ in range(60)]
+        words = [rng.choice(plain) for _ in range(60)]
         y = int(rng.random() < 0.3)
         if y:
             for _ in range(2):
@@ -116,8 +117,8 @@ def test_toxicity_on_held_out_rows(spark):
     held = got[[zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]]
     assert ((held.score >= 0.5) == (held.toxic == 1)).mean() > 0.95
     seen, unseen = (
-        toxicity.score(spark.createDataFrame([(0, f"w1 w2 {w} w3")], "doc_id long, text string"), model).first().score
-        for w in ("w5", "vilewordz")
+        toxicity.score(spark.createDataFrame([(0, f"{plain[0]} {plain[1]} {w} {plain[2]}")], "doc_id long, text string"), model).first().score
+        for w in (plain[3], "vilewordz")
     )
     assert unseen > seen
 
