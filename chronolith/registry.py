@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions import calendar, schema, temporal, text
-from chronolith.operators import differ, grouping, lineage, listing, liveness, pending, spans
+from chronolith.operators import differ, dispatch, grouping, lineage, listing, liveness, pending, spans
 from chronolith.operators.listing import ExecutionFilter
 from chronolith.plans import describe
 from chronolith.sources import bridge
@@ -666,6 +666,161 @@ def schedule_runs(spark, d):
     )
 
 
+# -- queues, claims, commands -------------------------------------------------
+
+
+@query(
+    """, q as (select event_id, 'req-' || (user_id // 2) workflow_id, event_type as name, props, epoch_us(ts) order_key from events),
+  f as (select workflow_id, arg_min({n: name, p: props}, order_key) h, min(order_key) k from q group by 1)
+  select event_id, order_key = k created, name = h.n and props = h.p same_request from q join f using (workflow_id)"""
+)
+def start_claims(spark, d):
+    e = bridge.read(spark, d, "events")
+    rows = e.select(
+        "event_id",
+        F.concat(F.lit("req-"), F.expr("user_id div 2")).alias("workflow_id"),
+        F.col("event_type").alias("name"),
+        "props",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("order_key"),
+    )
+    return dispatch.start_claims(rows).select("event_id", "created", "same_request")
+
+
+ITEMS = f""", i as (select x.task_queue, s.k * 1000 + s.seq item, s.ts enqueued, 'worker-' || (s.part_key % 40) as holder,
+    case when s.quantity % 3 = 0 then s.ts + s.quantity * {bridge.DAY_MS} end deadline from s join x using (k) where s.flag = 'N')
+"""
+
+
+def items(spark, d):
+    x = X(spark, d).select("k", "task_queue")
+    rows = bridge.steps(spark, d).where("flag = 'N'").join(x, "k")
+    held = F.when(F.col("quantity") % 3 == 0, F.col("ts") + F.col("quantity") * bridge.DAY_MS)
+    return rows.select(
+        "task_queue", (F.col("k") * 1000 + F.col("seq")).alias("item"), F.col("ts").alias("enqueued"),
+        F.concat(F.lit("worker-"), F.col("part_key") % 40).alias("holder"), held.alias("deadline"),
+    )
+
+
+@query(
+    ITEMS + f""", r as (select *, row_number() over (partition by task_queue order by deadline is null, enqueued, item) n
+    from i where deadline is null or deadline <= {CUTOFF})
+  select task_queue, item, enqueued, deadline is not null lapsed from r where n = 1"""
+)
+def queue_heads(spark, d):
+    return dispatch.queue_heads(items(spark, d), CUTOFF)
+
+
+@query(ITEMS + f"select task_queue, count(*) waiting from i where deadline is null or deadline <= {CUTOFF} group by 1")
+def lease_backlog(spark, d):
+    return dispatch.backlog(items(spark, d), CUTOFF)
+
+
+@query(ITEMS + f"select distinct holder from i where deadline > {CUTOFF}")
+def lease_holders(spark, d):
+    return dispatch.holders(items(spark, d), CUTOFF)
+
+
+@query(
+    LATEST + ITEMS + f""", g as (select distinct holder from i where deadline > {CUTOFF})
+  select task_queue, role, identity, polled_at from u where polled_at < {NOW_SQL} - 3600000 and identity not in (select holder from g)"""
+)
+def forgotten_workers(spark, d):
+    polls = bridge.polls(spark, d)
+    rows = dispatch.forgotten(liveness.latest(polls), dispatch.holders(items(spark, d), CUTOFF), poll_now(polls), 3_600_000)
+    return rows.select("task_queue", "role", "identity", "polled_at")
+
+
+def commands(spark, d):
+    """What a changed workflow would ask for: other kinds at some numbers, nothing at others."""
+    s = bridge.steps(spark, d).where("seq % 7 <> 6")
+    kind = F.when(F.col("seq") % 5 == 4, "timer").otherwise(F.col("kind"))
+    return s.select(bridge.workflow_id(F.col("k")).alias("workflow_id"), "seq", kind.alias("kind"))
+
+
+@query("select 'order-' || k workflow_id, seq, kind, 'timer' wanted from s where seq % 7 <> 6 and seq % 5 = 4 and kind <> 'timer'")
+def command_mismatches(spark, d):
+    history = H(spark, d).where(F.col("type").isin("activityScheduled", "timerStarted"))
+    return dispatch.mismatches(pending.markers(history), commands(spark, d))
+
+
+@query(
+    "select 'order-' || k workflow_id, min(seq) seq, min(seq) * 4 pos from s where seq % 7 = 6 and flag = 'N' group by 1"
+)
+def never_issued(spark, d):
+    waiting = pending.pending(H(spark, d)).where("kind <> 'child'")
+    return dispatch.never_issued(waiting, commands(spark, d))
+
+
+@query(
+    """, r as (select key, event_id, row_number() over (partition by key order by ts desc, event_id desc) n from e)
+  select key, array_to_string(list(event_id order by n), ',') newest from r where n <= 20 group by 1"""
+)
+def newest_runs(spark, d):
+    rows = dispatch.newest(bridge.stream_events(spark, d), "key", ["ts", "event_id"], "event_id")
+    return rows.withColumn("newest", F.array_join(F.col("newest").cast("array<string>"), ","))
+
+
+@query(
+    "select key, sum(length(props))::bigint size, arg_max(event_id, (length(props), event_id)) largest from e group by 1 having sum(length(props)) > 500"
+)
+def carryover_oversize(spark, d):
+    return dispatch.oversize(bridge.stream_events(spark, d), "key", "event_id", "props", cap=500)
+
+
+@query(
+    """, o as (select p_brand || '/' || p_type operation, p_size from part)
+  select distinct operation from o where p_size % 5 <> 0 and operation not in (select operation from o where p_size > 45)"""
+)
+def uncovered_operations(spark, d):
+    p = bridge.read(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("operation"), "p_size")
+    return dispatch.uncovered(p.withColumn("unsafe", F.col("p_size") % 5 == 0), p.where("p_size > 45"))
+
+
+@query(
+    """, g as (select *, row_number() over (partition by key order by ts, event_id) n from e where type = 'activityRetryScheduled')
+  select key, event_id, n from g where n & (n - 1) = 0"""
+)
+def reported_failures(spark, d):
+    """Of a key's failures the 1st, 2nd, 4th, 8th and so on are reported."""
+    from pyspark.sql import Window
+
+    rows = bridge.stream_events(spark, d).where("type = 'activityRetryScheduled'")
+    n = F.row_number().over(Window.partitionBy("key").orderBy("ts", "event_id"))
+    return rows.withColumn("n", n.cast("long")).where(text.is_power_of_two(F.col("n"))).select("key", "event_id", "n")
+
+
+@query(
+    """select k, case when every < 1 and nb >= na then 'every must be at least 1 ms; the bounds leave no time'
+    when every < 1 then 'every must be at least 1 ms' when nb >= na then 'the bounds leave no time' else '' end problems
+  from (select k, k % 3 every, k % 11 nb, k % 7 na from x)"""
+)
+def schedule_spec_problems(spark, d):
+    k = F.col("k")
+    return X(spark, d).select("k", F.array_join(temporal.spec_problems(k % 3, k % 11, k % 7), "; ").alias("problems"))
+
+
+@query(
+    REPORTS + "select task_queue, identity, sha256(to_json(list_sort(list(distinct name))))[:16] digest from r group by 1, 2"
+)
+def report_digests(spark, d):
+    rows = reports(spark, d).groupBy("task_queue", "identity").agg(F.collect_set("name").alias("names"))
+    return rows.select("task_queue", "identity", liveness.report_digest(F.col("names")).alias("digest"))
+
+
+@query(
+    """select k, case when c in (401, 403) then 'auth' when c = 404 then 'not_found' when c = 409 then 'conflict'
+    when c = 429 then 'rate_limited' when c >= 500 then 'unavailable' else 'invalid' end kind from (select k, 400 + k % 120 c from x)"""
+)
+def http_status_kinds(spark, d):
+    return X(spark, d).select("k", text.status_kind(400 + F.col("k") % 120).alias("kind"))
+
+
+@query("select k, coalesce(case when k % 3 = 0 then 'own' end, case when k % 2 = 0 then task_queue end, 'default') queue from x")
+def inherited_queue(spark, d):
+    own, execution = F.when(F.col("k") % 3 == 0, "own"), F.when(F.col("k") % 2 == 0, F.col("task_queue"))
+    return X(spark, d).select("k", dispatch.queue_of(own, execution).alias("queue"))
+
+
 # -- streams ------------------------------------------------------------------
 
 

@@ -182,7 +182,7 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(user % 11 == 0, "*").otherwise(F.concat(F.lit("queue-"), user % 7)).alias("task_queue"),
         F.when(F.col("event_type").isin("view", "click"), "workflow").otherwise("activity").alias("role"),
         F.when(user % 13 != 0, F.concat(F.lit("worker-"), user)).alias("identity"),
-        (F.col("event_type") == "purchase").alias("busy"),
+        (F.col("event_id") % 3 == 0).alias("busy"),
         F.when(user % 5 != 0, F.array(F.concat(F.lit("name-"), user % 4), F.concat(F.lit("name-"), user % 6))).alias("serves"),
     )
 
@@ -252,7 +252,7 @@ x as (
   select event_id, epoch_us(ts) // 1000 polled_at, case when user_id % 11 = 0 then '*' else 'queue-' || (user_id % 7) end task_queue,
     case when event_type in ('view', 'click') then 'workflow' else 'activity' end as role,
     case when user_id % 13 <> 0 then 'worker-' || user_id end as identity,
-    event_type = 'purchase' busy,
+    event_id % 3 = 0 busy,
     case when user_id % 5 <> 0 then ['name-' || (user_id % 4), 'name-' || (user_id % 6)] end serves
   from events
 ), e as (
