@@ -230,15 +230,25 @@ def nearest(own: list[bytes], text: list[bytes], most: int, offset: int = 0) ->
     return best
 
 
+class _Numbers(dict):
+    """word -> number in order of first sight, with its hash and vocabulary number; 0 is no word."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        super().__init__({b"": 0})
+        self.vocabulary, self.h, self.v = vocabulary, [0], [0]
+
+    def __missing__(self, word: bytes) -> int:
+        self.h.append(xxhash.xxh3_64_intdigest(word) | 1)
+        self.v.append(self.vocabulary.get(word, 0))
+        n = self[word] = len(self)
+        return n
+
+
 class Finder:
     """Keeps an index and the word numbers of a worker."""
 
     def __init__(self, index: Index):
-        self.index, self.number = index, {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number, self.h, self.v = {b"": 0}, [0], [0]
+        self.index, self.numbers = index, _Numbers(index.vocabulary)
 
     def __call__(self, texts: list[str | None]) -> list[list[dict]]:
         out: list[list[dict]] = []
@@ -252,21 +262,15 @@ class Finder:
         return out + (self._part(part) if part else [])
 
     def _part(self, texts: list[list[bytes]]) -> list[list[dict]]:
-        if len(self.number) > CACHE_WORDS:
-            self._clear()
-        number, v = self.number, self.index.vocabulary
-        flat: list[int] = []
+        if len(self.numbers) > CACHE_WORDS:
+            self.numbers = _Numbers(self.index.vocabulary)
+        number, pad = self.numbers.__getitem__, np.zeros(1, np.int32)
+        rows = []
         for words in texts:
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-                    self.h.append(xxhash.xxh3_64_intdigest(w) | 1)
-                    self.v.append(v.get(w, 0))
-            flat.extend(map(number.__getitem__, words))
-            flat.append(0)
-        at = np.array(flat, dtype=np.int64)
-        h, ids = np.array(self.h, dtype=np.uint64)[at], np.array(self.v, dtype=np.int32)[at]
-        return self.index.find(texts, ids, h)
+            rows += [np.fromiter(map(number, words), np.int32, len(words)), pad]
+        at = np.concatenate(rows)
+        h = np.array(self.numbers.h, dtype=np.uint64)[at]
+        return self.index.find(texts, np.array(self.numbers.v, dtype=np.int32)[at], h)
 
 
 LEAKS = "array<struct<item: long, edits: int, words: int, end: int>>"
