@@ -17,10 +17,10 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file or folder as a stream."""
+def stream(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
+    """A folder of Parquet files as a stream, oldest files first."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
