@@ -248,6 +248,7 @@ def encode_decode(
                     "decoded": [bpe.decode(x) for x in ids],
                 }
             )
+        bpe.words.clear()  # the vocabulary stays with the worker, a task's words do not
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

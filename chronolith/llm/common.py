@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,13 +56,34 @@ def semi_by_key(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi"
     return df.join(F.broadcast(keys) if small(keys, 24) else keys, key, how)
 
 
+def tidied(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``fn`` over a task's batches, giving unused memory back to the system when the
+    task ends: Spark's Python workers live on and serve other operators."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python workers at most ``BATCH_ROWS`` rows at once."""
+    conf = spark.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_rows(
     df: DataFrame,
     fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
     schema: str,
 ) -> DataFrame:
     """``mapInPandas`` with batches small enough for long documents."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInPandas(fn, schema)
+    small_batches(df.sparkSession)
+    return df.mapInPandas(tidied(fn), schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import BATCH_ROWS, table
+from chronolith.llm.common import small_batches, table, tidied
 
 #: Edits, as a share of an item's words, within which a passage counts as the item.
 SHARE = 0.2
@@ -277,11 +277,14 @@ LEAKS = "array<struct<item: long, edits: int, words: int, end: int>>"
 
 
 def _leaks(shared):
-    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def found(batches: Iterator) -> Iterator:
         finder = Finder(shared.value)
         for texts in batches:
             yield pd.Series(finder(texts.tolist()), index=texts.index, dtype=object)
 
+    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidied(found)(batches)
+
     return F.pandas_udf(leaks, LEAKS)
 
 
@@ -304,9 +307,7 @@ def with_leaks(
     replaced, other columns and repeated rows pass through.
     """
     spark = docs.sparkSession
-    conf = spark.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     items = items.where(F.col(item_col).isNotNull()).select(
         F.col(item_col).cast("long").alias("i"), F.coalesce(item_text, F.lit("")).alias("t")
     )

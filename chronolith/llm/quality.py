@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import BATCH_ROWS, small, stored, table
+from chronolith.llm.common import small, small_batches, stored, table, tidied
 
 #: Most labelled rows that the classifier learns from (smallest id hashes first).
 SAMPLE_ROWS = 20_000
@@ -98,12 +98,6 @@ def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) ->
     return Classifier(mean, scale, w[:-1], float(w[-1] - prior))
 
 
-def _batches(spark: SparkSession) -> None:
-    conf = spark.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def feature_column(text: Column) -> Column:
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(features)
@@ -118,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     rows reach the driver.  Rows with a null id or label are not learned from.
     Without labels the rate is one half.
     """
-    _batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     chosen = (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
         .where("doc_id is not null and quality in (0, 1)")
@@ -141,16 +135,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
 
 def evidence_column(spark: SparkSession, model: Classifier):
     """A function from a text column to its log likelihood ratio."""
-    _batches(spark)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator) -> Iterator:
         for text in batches:
             x = np.array([features(t) for t in text]).reshape(len(text), WIDTH)
             yield pd.Series(shared.value.evidence(x))
 
-    return evidence
+    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidied(scored)(batches)
+
+    return F.pandas_udf(evidence, "double")
 
 
 def log_odds(p: Column) -> Column:

@@ -70,9 +70,9 @@ class PrefixCounter:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.space, self.lead = regex.compile(r"\s+"), regex.compile(r"\s*")
         self.pieces = Splitter(PIECES)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.sizes: list[int] = []
         self.tables: list[list[int]] = []
@@ -139,7 +139,7 @@ class PrefixCounter:
         A special string counts as one token from its last character on.
         """
         if len(self.index) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self._clear()
+            self.clear()
         plans = []
         for text in texts:
             plan = []
@@ -241,6 +241,7 @@ def token_counts(
             if keep_prefixes:
                 out["prefix_counts"] = kept
             yield out
+        counter.clear()  # the vocabulary stays with the worker, a task's words do not
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return map_rows(rows, run, schema).withColumnRenamed("_id", id_col)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import shared_dir, stored, table
+from chronolith.llm.common import shared_dir, stored, table, tidied
 
 #: Records in one archive file at most, so that a task reads a bounded file.
 RECORDS_PER_FILE = 1500
@@ -245,7 +245,7 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
 
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, RECORD)
+    return files.mapInPandas(tidied(run), RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
