@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import map_rows, table
 
 #: Distinct words whose encodings a worker keeps; the cache starts anew beyond it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words longer than this are encoded each time, so the cache holds short keys only.
 CACHE_CHARS = 64
 

@@ -35,7 +35,7 @@ WALKS = 2
 #: Items that one scan of the documents carries; more items take more scans.
 BLOCK = 20_000
 #: Words of texts that are worked on at once, and words a worker remembers.
-CHUNK, CACHE_WORDS = 1 << 20, 400_000
+CHUNK, CACHE_WORDS = 1 << 18, 150_000
 
 _U = np.uint64
 #: ASCII letters in lower case and digits stay, other ASCII becomes a space; other bytes stay.
