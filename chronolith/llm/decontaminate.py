@@ -1,26 +1,23 @@
-"""Benchmark decontamination by CGK embedding, bit sampling and edit verification.
-
-The CGK embedding walks over a sequence of words: at each step it writes the
-word under its pointer and then moves on or stays, by a random bit of (step,
-word).  Two sequences a few edits apart write the same words at most steps
-again, so edit distance becomes Hamming distance.  Every word of a text starts
-a window; its walk is as long as the items of a length class need.  Sampled
-steps of the walk form a key; items and windows that agree in a key, in any of
-several samples and walks, are candidates, and an exact edit distance between
-the item and the words around the window decides.
-
-Windows are dropped as soon as their first sampled words match no item, so
-nearly all of them cost a few vector operations.
+"""Benchmark decontamination by an exact segment partition and edit verification.
+
+An item of n words may have k = share * n edits.  Cut into k + 1 segments, one of
+them at least is untouched by any k edits, wherever they lie: a passage within k
+edits holds that segment word for word.  So every segment of an item is a key, and
+every stretch of as many words of a text is looked up; a hit gives the place where
+the item would begin.  An exact edit distance between the item and the words around
+that place decides.  No passage within k edits is missed, and none is found beyond.
+
+Stretches are hashed and looked up for all words of many texts at once; nearly all
+are dropped by a bit table, so they cost a few vector operations.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +25,10 @@ from chronolith.llm.common import small_batches, table, tidied
 
 #: Edits, as a share of an item's words, within which a passage counts as the item.
 SHARE = 0.2
-#: Agreement of embeddings that the recall is planned for, and that recall.
-AGREEMENT, RECALL = 0.6, 0.9
-#: Different walks; the samples are dealt out over them.
-WALKS = 2
 #: Items that one scan of the documents carries; more items take more scans.
 BLOCK = 20_000
-#: Words of texts that are worked on at once, and words a worker remembers.
-CHUNK, CACHE_WORDS = 1 << 18, 150_000
+#: Words of texts that are worked on at once, and bits of the table that drops stretches.
+CHUNK, TABLE_BITS = 1 << 18, 20
 
 _U = np.uint64
 #: ASCII letters in lower case and digits stay, other ASCII becomes a space; other bytes stay.
@@ -48,163 +41,104 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").translate(_PLAIN).split()
 
 
-def _mix(h: np.ndarray, walk: int, block: int) -> np.ndarray:
-    """64 random bits for each word hash: those of a walk's steps in a block of 64."""
-    x = h * _U((0x9E3779B97F4A7C15 * (2 * (walk * 64 + block) + 1)) & (2**64 - 1))
-    x ^= x >> _U(32)
-    x *= _U(0xD6E8FEB86659FD93)
-    x ^= x >> _U(32)
-    x[h == 0] = 0  # the pad holds every walk
-    return x
-
-
-class Sample:
-    """One key of a length class: sampled steps of a walk, and the items by key."""
-
-    def __init__(self, walk: int, steps: list[int], items: list[int]):
-        self.walk, self.steps, self.items = walk, steps, items
+def segments(n: int, edits: int) -> list[tuple[int, int]]:
+    """(start, length) of ``edits`` + 1 even segments of ``n`` words, the longer ones last."""
+    parts = min(edits + 1, n)
+    cut = [n * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def _stretch(ids: np.ndarray, length: int) -> np.ndarray:
+    """A number for each stretch of ``length`` words, by its first word."""
+    n = max(0, len(ids) - length + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(length):
+        out = (out + ids[k : k + n].astype(np.uint64)) * _U(0x9E3779B97F4A7C15)
+        out ^= out >> _U(29)
+    return out
+
+
+class Segments:
+    """The segments of one length: items and places in them, by key."""
+
+    def __init__(self, length: int, rows: list[list[int]], items: list[int], places: list[int]):
+        self.length = length
+        key = np.concatenate([_stretch(np.array(r, dtype=np.int32), length) for r in rows])
+        order = np.argsort(key, kind="stable")
+        self.key, self.item, self.place = key[order], np.array(items)[order], np.array(places)[order]
+        self.known = np.zeros(1 << TABLE_BITS, bool)
+        self.known[self.key >> _U(64 - TABLE_BITS)] = True
+
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place in the text, item, place in the item) for each stretch that is a segment."""
+        key = _stretch(ids, self.length)
+        at = np.flatnonzero(self.known[key >> _U(64 - TABLE_BITS)])
+        key = key[at]
+        low, high = np.searchsorted(self.key, key), np.searchsorted(self.key, key, "right")
+        for k in np.flatnonzero(high > low):
+            for j in range(low[k], high[k]):
+                yield int(at[k]), int(self.item[j]), int(self.place[j])
 
 
 class Index:
-    """Benchmark items, embedded and sampled; finds them in texts."""
+    """Benchmark items, cut into segments; finds them in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE, seed: int = 4):
-        self.share, rng = share, np.random.default_rng(seed)
+    def __init__(self, items: list[tuple[int, str]], share: float = SHARE):
+        self.share = share
         self.items = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         self.vocabulary: dict[bytes, int] = {}
         for _, ws in self.items:
             for w in ws:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.base = len(self.vocabulary) + 1
-        self.hash_of = {w: xxhash.xxh3_64_intdigest(w) | 1 for w in self.vocabulary}
-        classes: dict[int, list[int]] = {}
+        by_length: dict[int, tuple[list, list, list]] = {}
         for k, (_, ws) in enumerate(self.items):
-            classes.setdefault(len(ws).bit_length(), []).append(k)
-        self.samples: list[Sample] = []
-        for bits, members in sorted(classes.items()):
-            least = 1 << (bits - 1)
-            length = max(1, 3 * least // 2)
-            m = min(3, max(1, bits - 1), length)
-            # so many samples that one agrees wholly with the recall asked for
-            n = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREEMENT**m)) if m > 1 else 1
-            for r in range(n):
-                edges = np.linspace(0, length, m + 1).astype(int)
-                steps = [int(rng.integers(a, max(a + 1, b))) for a, b in zip(edges, edges[1:], strict=False)]
-                self.samples.append(Sample(r % WALKS, steps, members))
-        walks = {s.walk for s in self.samples}
-        seen = {w: {} for w in walks}
-        for s in self.samples:
-            known = seen[s.walk]
-            rows = []
-            for k in s.items:
-                if k not in known:
-                    known[k] = self._embed(self.items[k][1], s.walk)
-                rows.append([known[k][t] for t in s.steps])
-            rows = np.array(rows, dtype=np.int64)
-            s.first = np.zeros(self.base, bool)
-            s.first[rows[:, 0]] = True
-            s.first[0] = False
-            key = self._key(rows)
-            order = np.argsort(key, kind="stable")
-            s.key, s.item = key[order], np.array(s.items)[order]
-            s.two = np.unique(self._key(rows[:, :2]))
-
-    def _key(self, rows: np.ndarray) -> np.ndarray:
-        """Symbols of the sampled steps in one number, modulo 2**64."""
-        out = np.zeros(len(rows), np.uint64)
-        for c in range(rows.shape[1]):
-            out = out * _U(self.base) + rows[:, c].astype(np.uint64)
-        return out
+            for start, length in segments(len(ws), self.most(k)):
+                rows, of, places = by_length.setdefault(length, ([], [], []))
+                rows.append([self.vocabulary[w] for w in ws[start : start + length]])
+                of.append(k)
+                places.append(start)
+        self.segments = [Segments(length, *x) for length, x in sorted(by_length.items())]
 
-    def _embed(self, words: list[bytes], walk: int) -> list[int]:
-        """The walk over an item, as vocabulary numbers; 0 behind its end."""
-        h = np.array([*(self.hash_of[w] for w in words), 0], dtype=np.uint64)
-        ids = [*(self.vocabulary[w] for w in words), 0]
-        at, out = 0, []
-        for step in range(3 * (1 << len(words).bit_length()) // 2):
-            if step % 64 == 0:
-                x = _mix(h, walk, step // 64)
-            out.append(ids[at])
-            at += int(x[at] >> _U(step % 64)) & 1
-        return out
+    def most(self, item: int) -> int:
+        """Most edits within which a passage is the item."""
+        return int(self.share * len(self.items[item][1]))
 
-    def candidates(self, ids: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
-        """(start, item) of windows that agree with an item in a key, in order.
+    def find(self, texts: list[list[bytes]], ids: np.ndarray) -> list[list[dict]]:
+        """For each text its passages: item, edits, and the place of the last word.
 
-        ``ids`` holds vocabulary numbers (0: in no item), ``h`` word hashes; a 0
-        in both separates texts.
+        ``ids`` holds vocabulary numbers (0: in no item); a 0 separates texts.
         """
-        found: set[tuple[int, int]] = set()
-        for walk in range(WALKS):
-            mine = [s for s in self.samples if s.walk == walk]
-            if not mine:
-                continue
-            at = np.arange(len(ids), dtype=np.int32)
-            alive: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for step in range(1 + max(s.steps[:2][-1] for s in mine)):
-                if step % 64 == 0:
-                    x = _mix(h, walk, step // 64)
-                here = ids[at]
-                for k, s in enumerate(mine):
-                    if step == s.steps[0]:
-                        starts = np.flatnonzero(s.first[here])
-                        alive[k] = starts, here[starts]
-                        if len(s.steps) == 1:
-                            self._match(s, starts, here[starts][:, None], found)
-                    elif step in s.steps[1:2]:
-                        starts, symbol = alive.pop(k)
-                        pair = np.stack([symbol, here[starts]], axis=1)
-                        key = self._key(pair)
-                        place = np.minimum(np.searchsorted(s.two, key), len(s.two) - 1)
-                        keep = s.two[place] == key
-                        self._finish(s, starts[keep], pair[keep], at, h, ids, found)
-                at += ((x >> _U(step % 64)) & _U(1)).astype(np.int8)[at]
-        return sorted(found)
-
-    def _finish(self, s: Sample, starts, symbols, at, h, ids, found) -> None:
-        """Walk on from the second sampled step for the few windows that are left."""
-        where = at[starts]
-        block, x = -1, None
-        for step in range(s.steps[1], s.steps[-1]):
-            if step // 64 != block:
-                block = step // 64
-                x = _mix(h, s.walk, block) if len(starts) > len(h) // 8 else None
-            own = x[where] if x is not None else _mix(h[where], s.walk, block)
-            where = where + ((own >> _U(step % 64)) & _U(1)).astype(np.int32)
-            if step + 1 in s.steps[2:]:
-                symbols = np.column_stack([symbols, ids[where]])
-        self._match(s, starts, symbols, found)
-
-    def _match(self, s: Sample, starts, symbols, found) -> None:
-        key = self._key(symbols)
-        low, high = np.searchsorted(s.key, key), np.searchsorted(s.key, key, "right")
-        for k in np.flatnonzero(high > low):
-            found.update((int(starts[k]), int(i)) for i in s.item[low[k] : high[k]])
-
-    def verify(self, words: list[bytes], start: int, item: int) -> tuple[int, int] | None:
-        """(edits, last word) of the item's best place around a window, if near enough."""
-        own = self.items[item][1]
-        most = int(self.share * len(own))
-        first = max(0, start - most)
-        return nearest(own, words[first : start + len(own) + 2 * most], most, first)
-
-    def find(self, texts: list[list[bytes]], ids: np.ndarray, h: np.ndarray) -> list[list[dict]]:
-        """For each text its passages: item, edits, and the place of the last word."""
         size = np.array([len(t) + 1 for t in texts])
         begin = np.cumsum(size) - size
-        best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        for at, item in self.candidates(ids, h):
-            t = int(np.searchsorted(begin, at, "right")) - 1
-            if (got := self.verify(texts[t], at - int(begin[t]), item)) is not None:
-                if item not in best[t] or got < best[t][item]:
-                    best[t][item] = got
-        return [
-            [
-                {"item": self.items[i][0], "edits": e, "words": len(self.items[i][1]), "end": end}
-                for i, (e, end) in sorted(b.items())
-            ]
-            for b in best
-        ]
+        starts: dict[tuple[int, int], set[int]] = {}
+        for s in self.segments:
+            for at, item, place in s.hits(ids):
+                t = int(np.searchsorted(begin, at, "right")) - 1
+                starts.setdefault((t, item), set()).add(at - int(begin[t]) - place)
+        out: list[list[dict]] = [[] for _ in texts]
+        for (t, item), places in sorted(starts.items()):
+            if (got := self.verify(texts[t], sorted(places), item)) is not None:
+                name, own = self.items[item]
+                out[t].append({"item": name, "edits": got[0], "words": len(own), "end": got[1]})
+        return out
+
+    def verify(self, words: list[bytes], starts: list[int], item: int) -> tuple[int, int] | None:
+        """(edits, last word) of the item's best place around its possible starts, if near enough.
+
+        Starts whose surroundings overlap are looked at as one stretch.
+        """
+        own, most = self.items[item][1], self.most(item)
+        best, k = None, 0
+        while k < len(starts):
+            first, end = max(0, starts[k] - most), starts[k] + len(own) + most
+            while k + 1 < len(starts) and starts[k + 1] - most <= end:
+                k += 1
+                end = starts[k] + len(own) + most
+            got = nearest(own, words[first:end], most, first)
+            if got is not None and (best is None or got < best):
+                best = got
+            k += 1
+        return best
 
 
 def nearest(own: list[bytes], text: list[bytes], most: int, offset: int = 0) -> tuple[int, int] | None:
@@ -230,25 +164,11 @@ def nearest(own: list[bytes], text: list[bytes], most: int, offset: int = 0) ->
     return best
 
 
-class _Numbers(dict):
-    """word -> number in order of first sight, with its hash and vocabulary number; 0 is no word."""
-
-    def __init__(self, vocabulary: dict[bytes, int]):
-        super().__init__({b"": 0})
-        self.vocabulary, self.h, self.v = vocabulary, [0], [0]
-
-    def __missing__(self, word: bytes) -> int:
-        self.h.append(xxhash.xxh3_64_intdigest(word) | 1)
-        self.v.append(self.vocabulary.get(word, 0))
-        n = self[word] = len(self)
-        return n
-
-
 class Finder:
-    """Keeps an index and the word numbers of a worker."""
+    """Finds an index's items in texts, so many at once as make up a chunk of words."""
 
     def __init__(self, index: Index):
-        self.index, self.numbers = index, _Numbers(index.vocabulary)
+        self.index = index
 
     def __call__(self, texts: list[str | None]) -> list[list[dict]]:
         out: list[list[dict]] = []
@@ -262,15 +182,11 @@ class Finder:
         return out + (self._part(part) if part else [])
 
     def _part(self, texts: list[list[bytes]]) -> list[list[dict]]:
-        if len(self.numbers) > CACHE_WORDS:
-            self.numbers = _Numbers(self.index.vocabulary)
-        number, pad = self.numbers.__getitem__, np.zeros(1, np.int32)
+        number, pad = self.index.vocabulary.get, np.zeros(1, np.int32)
         rows = []
         for words in texts:
-            rows += [np.fromiter(map(number, words), np.int32, len(words)), pad]
-        at = np.concatenate(rows)
-        h = np.array(self.numbers.h, dtype=np.uint64)[at]
-        return self.index.find(texts, np.array(self.numbers.v, dtype=np.int32)[at], h)
+            rows += [np.fromiter(map(number, words, repeat(0)), np.int32, len(words)), pad]
+        return self.index.find(texts, np.concatenate(rows))
 
 
 LEAKS = "array<struct<item: long, edits: int, words: int, end: int>>"

@@ -216,6 +216,33 @@ def test_decontamination(spark):
     assert decontaminate.with_leaks(clashing(spark, WEIRD), bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_decontamination_is_brute_force():
+    """Edits of a fifth at an item's head, cut heads, or anywhere: what brute force finds."""
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(60)]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [make(n) for n in (1, 4, 5, 9, 10, 19, 20, 31, 40, 59) for _ in range(4)]
+    texts = []
+    for words in items:
+        most = len(words) // 5
+        anywhere = list(words)
+        for k in rng.sample(range(len(words)), most):
+            anywhere[k] = "changed"
+        passages = (["changed"] * most + words[most:], words[most:], words[: len(words) - most], anywhere)
+        texts += [make(rng.randint(0, 30)) + p + make(rng.randint(0, 30)) for p in passages]
+    index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+    got = decontaminate.Finder(index)([" ".join(t) for t in texts])
+    for k, t in enumerate(texts):
+        text = [w.encode() for w in t]
+        want = {}
+        for i, (name, own) in enumerate(index.items):
+            near = decontaminate.nearest(own, text, len(own) // 5)
+            if near is not None:
+                want[name] = near
+        assert {r["item"]: (r["edits"], r["end"]) for r in got[k]} == want
+        assert k // 4 in want
+
+
 def test_warc_round_trip(spark, sf_dir):
     pages = spark.createDataFrame(
         [(3, "http://a/x?y", "<p>é</p>\r\n\r\nWARC/1.1"), (1, "http://b", "<p>é</p>\r\n\r\nWARC/1.1"), (2, None, None), (4, "u\nv", ""), (4, "u\nv", ""), (None, "n", "x"), (7, "z", "only")],
