@@ -57,6 +57,19 @@ def test_battery_tells_keys_from_names():
         assert secrets.random_spans(name, []) == []
 
 
+def test_battery_finds_keys_of_every_encoding():
+    rng = random.Random(6)
+    for name, alphabet in secrets.ENCODINGS:
+        for length in (20, 24, 32, 40, 64):
+            keys = ["".join(rng.choice(alphabet) for _ in range(length - 2)) + "b7" for _ in range(60)]
+            if "b" not in alphabet:
+                keys = [k.replace("b7", "B7") for k in keys]
+            hits = sum(bool(secrets.random_spans(f"see {k} here", [])) for k in keys)
+            assert hits >= 0.8 * len(keys), (name, length)
+    for plain in ("test_with_continue_1_0", "MAPPINGS/VENDORS/MICSFT/WINDOWS/CP1252", "configuration2settings2024", "TOTALAMOUNTOFORDERS2024", "0b1010101010101010101010101010101"):
+        assert secrets.random_spans(plain, []) == []
+
+
 def test_bpe_is_the_library(spark, sf_dir):
     path = bpe.default_path()
     library, own = tokenizers.Tokenizer.from_file(path), bpe.loaded(path)
