@@ -40,8 +40,8 @@ class Settings:
     decay: float = 3e-5
     #: The mean is multiplied by this before the softmax: one word in fifty decides a text.
     scale: float = 50.0
-    #: Embedding rows seen in a smaller share of the texts, or in under 3, stay zero.
-    least: float = 0.006
+    #: Embedding rows seen in fewer texts stay zero, but for those of one class only, from 2 on.
+    least: float = 3.0
     seed: int = 10
 
 
@@ -128,9 +128,9 @@ def train(texts: list[str | None], labels: np.ndarray, s: Settings) -> Model:
         weights.append((count / max(1, len(ids))).astype(np.float32))
     if not index or len(set(labels.tolist())) < 2:
         return model
-    size = np.array([len(c) for c in cols])
+    docs_size = np.array([len(c) for c in cols])
     cols = np.concatenate(cols)
-    docs = Sparse(size, cols, np.concatenate(weights), len(index))
+    docs = Sparse(docs_size, cols, np.concatenate(weights), len(index))
     flat, size = array("i"), np.zeros(len(index), np.int64)
     for k, w in enumerate(index):
         rows = subwords(w, s)
@@ -139,7 +139,11 @@ def train(texts: list[str | None], labels: np.ndarray, s: Settings) -> Model:
     flat = np.frombuffer(flat, dtype=np.int32)
     texts_with = np.bincount(cols, minlength=len(index))
     seen = np.bincount(flat, np.repeat(texts_with, size), minlength=s.rows)
-    often = seen[flat] >= max(3.0, s.least * len(labels))
+    # texts of class 1 that a word, then that a row is in
+    toxic_with = np.bincount(cols, np.repeat(labels, docs_size), minlength=len(index))
+    toxic = np.bincount(flat, np.repeat(toxic_with, size), minlength=s.rows)
+    often = (seen >= s.least) | (seen >= 2) & ((toxic == 0) | (toxic == seen))
+    often = often[flat]
     kept = np.bincount(np.repeat(np.arange(len(size)), size)[often], minlength=len(size))
     words = Sparse(kept, flat[often], np.repeat((1 / size).astype(np.float32), kept), s.rows)
     del index

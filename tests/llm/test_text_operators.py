@@ -136,6 +136,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert unseen > seen
 
 
+def toxic_texts(n, rate, bad, seed=4):
+    rng, parts = random.Random(seed), [a + b for a in "klmnprstvz" for b in "aeiou"]
+    plain = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 4))) for _ in range(300)]
+    texts, labels = [], []
+    for _ in range(n):
+        words = [rng.choice(plain) for _ in range(30)]
+        labels.append(int(rng.random() < rate))
+        if labels[-1]:
+            for _ in range(2):
+                words[rng.randrange(30)] = rng.choice(bad)
+        texts.append(" ".join(words))
+    return texts, np.array(labels)
+
+
+@pytest.mark.parametrize("rate, lexicon", [(0.005, 3), (0.1, 200)])
+def test_toxicity_learns_from_rare_rows(rate, lexicon):
+    rng = random.Random(5)
+    bad = ["".join(rng.choice("qxwyjgdb") for _ in range(7)) for _ in range(lexicon)]
+    texts, labels = toxic_texts(4000, rate, bad)
+    model = toxicity.train(texts, labels, toxicity.Settings())
+    fresh, truth = toxic_texts(1000, 0.1, bad, seed=6)
+    got = model.score(toxicity.WordVectors(model).means(fresh))
+    above = (got[truth == 1][:, None] > got[truth == 0][None, :]).mean()
+    assert above > 0.8
+
+
 def test_toxicity_edges(spark):
     docs = clashing(spark, WEIRD)
     none = spark.createDataFrame([], "doc_id long, toxic int")
