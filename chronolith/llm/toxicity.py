@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import map_rows, table
 
 WORD = re.compile(r"\w+")
+#: Most characters of a word, and those that pieces of a longer run share: no n-gram
+#: of up to one more character falls between two pieces.
+PIECE, OVERLAP = 64, 16
 #: Distinct words whose vectors a worker keeps before it starts anew.
 CACHE_WORDS = 300_000
 
@@ -47,7 +50,7 @@ class Settings:
 
 def subwords(word: str, s: Settings) -> list[int]:
     """Rows of a word and its character n-grams, within marked ends."""
-    marked, mask = f"<{word[:64]}>", s.rows - 1
+    marked, mask = f"<{word}>", s.rows - 1
     grams = {
         marked[i : i + n]
         for n in range(s.shortest, s.longest + 1)
@@ -58,7 +61,15 @@ def subwords(word: str, s: Settings) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Runs of word characters; a longer one than ``PIECE`` is cut into pieces that
+    overlap, so that each of its n-grams is in one, and each counts as a word."""
+    out = []
+    for word in WORD.findall((text or "").lower()):
+        if len(word) <= PIECE:
+            out.append(word)
+        else:
+            out += [word[i : i + PIECE] for i in range(0, len(word) - OVERLAP, PIECE - OVERLAP)]
+    return out
 
 
 #: Entries of a sparse product that are held at once.

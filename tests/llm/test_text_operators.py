@@ -162,6 +162,19 @@ def test_toxicity_learns_from_rare_rows(rate, lexicon):
     assert above > 0.8
 
 
+def test_toxicity_reads_behind_character_64():
+    s = toxicity.Settings()
+    run = "".join(random.Random(8).choice("abcdefgh") for _ in range(1000))
+    rows = {r for w in toxicity.words_of(run) for r in toxicity.subwords(w, s)}
+    for n in range(s.shortest, s.longest + 1):
+        assert all(zlib.crc32(run[i : i + n].encode()) & s.rows - 1 in rows for i in range(len(run) - n + 1))
+    texts, labels = toxic_texts(2000, 0.3, ["vileword", "nastything"])
+    model = toxicity.train(texts, labels, s)
+    glued = ["lakimo" * 20 + middle + "lakimo" * 5 for middle in ("vileword", "nemokalo")]
+    bad, plain = model.score(toxicity.WordVectors(model).means(glued))
+    assert bad > plain
+
+
 def test_toxicity_edges(spark):
     docs = clashing(spark, WEIRD)
     none = spark.createDataFrame([], "doc_id long, toxic int")
