@@ -9,9 +9,12 @@ least, or as many as the sizes of the two sets ask for.
 Documents with equal sets are one class from the start.  In a bucket (the
 classes that share a prefix token) each class is first compared with a hub, the
 smallest class of the bucket; classes found linked need no comparison with
-each other.  Then every pair of a bucket that is still in different components
-is a candidate, without a limit.  So no link between components is lost, and
-a group of near copies makes as many pairs as it has members, not their square.
+each other.  Buckets of many classes get further hubs, those of which most of the
+prefix is shared, as long as these find links; each class is compared with one hub a
+round.  Then every pair of a bucket that is still in different components is a
+candidate, without a limit.  So no link between components is lost, and a
+group of near copies makes a few pairs for each member, not their square.  A member
+whose own words fill its prefix meets nobody there; it can't link.
 """
 
 from __future__ import annotations
@@ -39,12 +42,11 @@ SALTS, SALTED, PART = 64, 2, 0xFC
 #: Share of a document's prefix tokens whose bucket has one hub, from which on that pair is
 #: compared early; it saves work, the pairs left over are compared in any case.
 STAR = 0.1
-#: Documents from which on a bucket gets more hubs, and rounds of one more hub each.
-WIDE, ROUNDS = 32, 2
-#: Of the documents in those buckets, one in so many is then compared with all others.
-SAMPLE = 8
-#: Words whose hashes and documents whose sets a worker keeps.
-CACHE_WORDS, CACHE_SETS = 200_000, 300
+#: Documents from which on a bucket gets more hubs, rounds of one more hub each at most, and
+#: the share of a round's pairs that must be links for another one.
+WIDE, ROUNDS, FEW = 32, 8, 0.1
+#: Words whose hashes a worker keeps.
+CACHE_WORDS = 100_000
 
 _U = np.uint64
 _MIX = (_U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53))
@@ -218,41 +220,69 @@ def _entries(rows: DataFrame, n: int, percent: int, frequent: tuple) -> DataFram
     return map_rows(rows, run, "token long, node long, spot long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of a stored table whose documents' sets reach the threshold."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    texts = stored(semi_by_key(rows, ids, "_id").groupBy("_id").agg(F.min("_text").alias("_text")))
-    both = pairs.join(texts.toDF("a", "_ta"), "a").join(texts.toDF("b", "_tb"), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose documents' sets reach the threshold; ``texts`` (node, text) is stored.
+
+    Pairs are dealt out by b, those of one b in up to ``SALTS`` parts; in front of a part
+    stands b itself.  So a text is sent once for a pair and once for a part, not twice for a
+    pair, and a task holds one set besides that at hand.
+    """
+    dealt = pairs.select("b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt"), "a")
+    heads = dealt.select("b", "salt").distinct()
+    heads = heads.join(texts.toDF("b", "text"), "b").select("b", "salt", F.col("b").alias("a"), "text", F.lit(0).alias("kind"))
+    rows = dealt.join(texts.toDF("a", "text"), "a").select("b", "salt", "a", "text", F.lit(1).alias("kind"))
+    rows = heads.union(rows).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, sets = Shingler(n), {}
+        shingler, held = Shingler(n), None
+        for pdf in batches:
+            found = []
+            for a, b, kind, text in zip(pdf["a"], pdf["b"], pdf["kind"], pdf["text"], strict=True):
+                if kind == 0:
+                    held = shingler(text)
+                elif linked(shingler(text), held, percent):
+                    found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-        def of(node, text):
-            if node not in sets:
-                if len(sets) >= CACHE_SETS:
-                    sets.clear()
-                sets[node] = shingler(text)
-            return sets[node]
+    return map_rows(rows.select("b", "a", "kind", "text"), run, "a long, b long")
 
-        for pdf in batches:
-            rows = zip(pdf["a"], pdf["_ta"], pdf["b"], pdf["_tb"], strict=True)
-            keep = [linked(of(a, ta), of(b, tb), percent) for a, ta, b, tb in rows]
-            yield pdf.loc[keep, ["a", "b"]]
 
-    return map_rows(both, run, "a long, b long")
+def _order(token: str = "token") -> Column:
+    """The order that an entry's token belongs to."""
+    return F.col(token).bitwiseAND(F.lit(ORDERS - 1))
 
 
 def _stars(entries: DataFrame, node: str, hub: str, percent: int) -> DataFrame:
-    """Pairs (a, b) of a node and a hub that share a good part of the node's prefixes."""
+    """Pairs (a, b) of a node and a hub that share a good part of the node's prefixes,
+    and something under each order; with the number of tokens n."""
+    each = [F.count_if(_order() == o) > 0 for o in range(ORDERS)]
     return (
         entries.where(F.col(node) != F.col(hub))
         .groupBy(F.col(node).alias("a"), F.col(hub).alias("b"))
-        .agg(F.count("*").alias("n"), F.min("size").alias("size"))
+        .agg(F.count("*").alias("n"), F.min("size").alias("size"), *[c.alias(f"_{o}") for o, c in enumerate(each)])
         .where(F.col("n") >= STAR * ORDERS * (F.col("size") * (100 - percent) / 100))
-        .select("a", "b")
+        .where(" and ".join(f"_{o}" for o in range(ORDERS)))
+        .select("a", "b", "n")
     )
 
 
+def _prefixes(entries: DataFrame) -> DataFrame:
+    """(node, size, t0, t1, ...): a node's tokens among the entries, by order; stored."""
+    tokens = [F.collect_set(F.when(_order() == o, F.col("token"))).alias(f"t{o}") for o in range(ORDERS)]
+    return stored(entries.groupBy("node").agg(F.min("size").alias("size"), *tokens))
+
+
+def _filtered(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share enough prefix tokens under every order."""
+    own = [f"t{o}" for o in range(ORDERS)]
+    pairs = pairs.join(prefixes.toDF("a", "_na", *[f"a{k}" for k in own]), "a")
+    pairs = pairs.join(prefixes.toDF("b", "_nb", *[f"b{k}" for k in own]), "b")
+    least = needed(F.col("_na"), F.col("_nb"), percent)
+    for k in own:
+        pairs = pairs.where(F.size(F.array_intersect(f"a{k}", f"b{k}")) >= least)
+    return pairs.select("a", "b")
+
+
 def _mixed(entries: DataFrame, near: DataFrame) -> DataFrame:
     """Entries with their component, in buckets that hold more than one; stored."""
     near = F.broadcast(near) if small(near, 32, 16 << 20) else near
@@ -261,26 +291,21 @@ def _mixed(entries: DataFrame, near: DataFrame) -> DataFrame:
     return stored(placed.join(several.where("low < high").select("token"), "token"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, once: bool) -> DataFrame:
-    """(a, b, least): documents in different components that share one of the tokens which can
-    be the first that they share, under the first order; a row for each such token, and
-    with ``once`` for one direction of a pair."""
-    x = left.where(F.col("token").bitwiseAND(F.lit(ORDERS - 1)) == 0).alias("x")
-    y = right.where(F.col("token").bitwiseAND(F.lit(ORDERS - 1)) == 0).alias("y")
+def _pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: documents in different components that share one of the tokens which can
+    be the first that they share, under the first order."""
+    x = entries.where(_order() == 0).alias("x")
+    y = entries.where(_order() == 0).alias("y")
     overlap = F.ceil(percent * (F.col("x.size") + F.col("y.size")) / (100 + percent))
     return x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("x.node") < F.col("y.node")) if once else F.lit(True))
+        & (F.col("x.node") < F.col("y.node"))
         # the first token that they share leaves room for the overlap asked for
         & (F.col("x.place") <= F.col("x.size") - overlap + 1)
         & (F.col("y.place") <= F.col("y.size") - overlap + 1),
-    ).select(
-        F.col("x.node").alias("a"),
-        F.col("y.node").alias("b"),
-        needed(F.col("x.size"), F.col("y.size"), percent).alias("least"),
-    )
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _wide(placed: DataFrame) -> DataFrame:
@@ -341,60 +366,38 @@ def jaccard_components(
     top = hubs.where("salted").groupBy("token").agg(F.min("hub").alias("top"))
     parts = hubs.where("salted").select("token", "hub", "size").distinct().join(top, "token")
     stars = _stars(hubs, "node", "hub", percent).union(_stars(parts, "hub", "top", percent))
-    stars = stored(stars.distinct())
-    links = stored(_verified(stars, rows, n, percent))
+    stars = stored(stars.select("a", "b").distinct())
+    texts = semi_by_key(rows, stored(hubs.select(F.col("node").alias("_id")).distinct()), "_id")
+    texts = stored(texts.groupBy(F.col("_id").alias("node")).agg(F.min("_text").alias("text")))
+    links = stored(_verified(stars, texts, n, percent))
     near = components(links).toDF("node", "root")
     columns = ["token", "node", "size", "place"]
     entries = hubs.where("not salted").select(*columns)
     placed = _mixed(entries.union(hubs.where("salted").select(*columns).distinct()), near)
-    # more hubs for the buckets with many documents, which are few
+    # the buckets with many documents, which are few, get new hubs while these find links
     wide = stored(placed.join(_wide(placed), "token").drop("root"))
-    for r in range(ROUNDS):
+    prefixes = _prefixes(wide)
+    # those are best that share most of their prefix: in eighths of the prefix's size
+    own = F.size("t0") / (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
+    wide = stored(wide.join(prefixes.select("node", F.floor(8 * own).alias("central")), "node"))
+    for r in range(0 if wide.isEmpty() else ROUNDS):
         part = _mixed(wide, near)
-        hub = part.groupBy("token").agg(
-            F.min_by("node", F.xxhash64("node", F.lit(r))).alias("hub"),
-            F.min_by("root", F.xxhash64("node", F.lit(r))).alias("hub_root"),
-        )
+        best = F.struct("central", F.xxhash64("node", F.lit(r)))
+        hub = part.groupBy("token").agg(F.max_by("node", best).alias("hub"), F.max_by("root", best).alias("hub_root"))
         part = part.join(hub, "token").where("root <> hub_root")
-        more = stored(_stars(part, "node", "hub", percent).join(stars, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        stars = stored(stars.union(more))
-        links = stored(links.union(_verified(more, rows, n, percent)))
+        more = _stars(part, "node", "hub", percent).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+        more = stored(_filtered(more.join(stars, ["a", "b"], "left_anti"), prefixes, percent))
+        new = stored(_verified(more, texts, n, percent))
+        stars, links = stored(stars.union(more)), stored(links.union(new))
         near = components(links).toDF("node", "root")
-    # then a part of the pairs in those buckets: most documents that hubs missed find a link
-    part = _mixed(wide, near)
-    sample = part.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
-    more = _pairs(part, sample, percent, once=False).groupBy("a", "b")
-    more = more.agg(F.count("*").alias("n"), F.min("least").alias("least")).where("8 * n >= least")
-    more = stored(more.select("a", "b").join(stars, ["a", "b"], "left_anti"))
-    stars = stored(stars.union(more))
-    links = stored(links.union(_verified(more, rows, n, percent)))
-    near = components(links).toDF("node", "root")
+        if new.count() <= FEW * more.count():
+            break
     # what is left: every pair of a bucket in different components
     placed = _mixed(placed.drop("root"), near)
-    pairs = _pairs(placed, placed, percent, once=True)
-    pairs = pairs.groupBy("a", "b").agg(F.min("least").alias("least"))
-    # the tokens of a document's prefixes that others share, by order
-    prefixes = stored(
-        placed.groupBy("node").agg(
-            *[
-                F.collect_set(
-                    F.when(F.col("token").bitwiseAND(F.lit(ORDERS - 1)) == o, F.col("token"))
-                ).alias(f"t{o}")
-                for o in range(ORDERS)
-            ]
-        )
-    )
-    names = [f"t{o}" for o in range(ORDERS)]
-    pairs = pairs.join(prefixes.toDF("a", *[f"a{k}" for k in names]), "a")
-    pairs = pairs.join(prefixes.toDF("b", *[f"b{k}" for k in names]), "b")
-    for k in names:
-        pairs = pairs.where(F.size(F.array_intersect(f"a{k}", f"b{k}")) >= F.col("least"))
-    pairs = pairs.select("a", "b")
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = _filtered(_pairs(placed, percent), _prefixes(placed), percent)
     pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
-    links = links.union(_verified(pairs, rows, n, percent))
+    links = links.union(_verified(pairs, texts, n, percent))
     joined = components(links).toDF("rep", "root")
     out = (
         found.join(classes, ["key", "size"], "left")
@@ -410,3 +413,29 @@ def jaccard_components(
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE_SQL = rf"""
+with recursive w as (
+  select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '[\x20\x09-\x0D]+') if x <> ''] ws
+  from documents
+), s as (
+  select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < {WORDS} then [array_to_string(ws, ' ')]
+    else [array_to_string(ws[i:i + {WORDS - 1}], ' ') for i in range(1, len(ws) - {WORDS} + 2)] end) g
+  from w
+), t as (select doc_id, len(g) n, unnest(g) g from s),
+e as (
+  select a.doc_id x, b.doc_id y from t a join t b on a.g = b.g and a.doc_id < b.doc_id
+  group by all having 100 * count(*) >= {PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))
+), l as (select x, y from e union select y, x from e),
+r(k, root) as (
+  select distinct x, x from l
+  union
+  select l.y, r.root from r join l on l.x = r.k where r.root < l.y
+)
+select s.doc_id, len(s.g)::bigint n_shingles,
+  case when s.doc_id is not null then coalesce((select min(root) from r where r.k = s.doc_id), s.doc_id) end component_id
+from s
+"""

@@ -11,6 +11,7 @@ from chronolith.llm.decontaminate import op4_decontaminate
 from chronolith.llm.fingerprints import op3_fingerprints
 from chronolith.llm.line_dedup import ORACLE_SQL as LINES_SQL
 from chronolith.llm.line_dedup import op2_line_dedup
+from chronolith.llm.ngram_join import ORACLE_SQL as JOIN_SQL
 from chronolith.llm.ngram_join import op7_ngram_join
 from chronolith.llm.quality import op6_quality
 from chronolith.llm.secrets import op1_secrets
@@ -32,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op5_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op5_warc": WARC_SQL, "op7_ngram_join": JOIN_SQL}

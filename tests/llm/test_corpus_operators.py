@@ -64,6 +64,29 @@ def test_jaccard_components(spark, seed):
     assert ngram_join.jaccard_components(clashing(spark, WEIRD)).count() == len(WEIRD) + 2
 
 
+def test_jaccard_of_wide_groups(spark, sf_dir):
+    """Groups far above ``WIDE``: most members near the threshold, some a star around the
+    first, some linked with none; and a passage that all of them share."""
+    rng = random.Random(12)
+    shared = [f"s{k}" for k in range(12)]
+    texts = []
+    for size, most in ((50, 4), (120, 7), (200, 10)):
+        base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        for _ in range(size):
+            words = list(base)
+            for _ in range(rng.randint(0, most)):
+                words[rng.randrange(100)] = f"z{rng.randrange(99999)}"
+            texts.append(" ".join(shared + words if rng.random() < 0.5 else words))
+    texts += [" ".join(shared + [f"u{rng.randrange(99999)}" for _ in range(30)]) for _ in range(60)]
+    rng.shuffle(texts)
+    want, sizes = brute_components(texts)
+    assert ngram_join.WIDE < 50 and 10 < len(set(want)) < 300
+    out = {r.doc_id: r for r in ngram_join.jaccard_components(documents(spark, texts, null_ids=False)).collect()}
+    assert [out[k].component_id for k in range(len(texts))] == want
+    assert [out[k].n_shingles for k in range(len(texts))] == sizes
+    same(ngram_join.op7_ngram_join(spark, sf_dir), connect(sf_dir), registry.ORACLE_SQL["op7_ngram_join"])
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (3, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 20)]
     got = components.components(spark.createDataFrame(links, "a long, b long"))
