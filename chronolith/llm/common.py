@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python worker at once; documents reach 100 KB, so a batch stays a few MB.
-BATCH_ROWS = 500
+#: Rows and bytes handed to a Python worker at once; a longer row goes alone.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 #: A table joined as a broadcast must be measured below this many bytes; above it the join shuffles.
 BROADCAST_BYTES = 8 << 20
 
@@ -48,6 +48,30 @@ def small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bo
     return df.limit(limit // bytes_per_row + 1).count() * bytes_per_row <= limit
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def joined_hot(left: DataFrame, right: DataFrame, key: str, of: str, parts: int = 32) -> DataFrame:
+    """Left join of ``left.key`` with the distinct ``right.of``, a stored table, where one key
+    may have a large share of the left rows.
+
+    A right table measured as small is broadcast; else each of its rows is sent to
+    ``parts`` parts, over which the rows of a key are spread.
+    """
+    if small(right, 256):
+        return left.join(F.broadcast(right), F.col(key) == F.col(of), "left")
+    salt, part = free_name(left, "_salt"), free_name(left, "_part")
+    left = left.withColumn(salt, F.pmod(F.xxhash64(*[c for c, k in left.dtypes if "map<" not in k]), F.lit(parts)))
+    right = right.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    on = (F.col(key) == F.col(of)) & (F.col(salt) == F.col(part))
+    return left.join(right, on, "left").drop(salt, part)
+
+
 def semi_by_key(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Keep the rows of ``df`` whose ``key`` is in the stored, distinct ``keys``.
 
@@ -73,8 +97,9 @@ def tidied(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand Python workers at most ``BATCH_ROWS`` rows at once."""
+    """Hand Python workers at most ``BATCH_ROWS`` rows or about ``BATCH_BYTES`` at once."""
     conf = spark.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import semi_by_key, small, stored, table
+from chronolith.llm.common import free_name, semi_by_key, small, stored, table
 from chronolith.llm.components import components
 
 #: Most edits between near-duplicate lines, and the fewest characters of a line that is compared.
@@ -29,6 +29,8 @@ TAU, LEAST_CHARS = 2, 24
 OFTEN = 4
 #: Measured tables below this are broadcast.
 BYTES = 32 << 20
+#: What orders lines: the first of a class stays.
+PLACE = ("doc", "text", "pos")
 
 
 def lines_of(text: Column) -> Column:
@@ -41,9 +43,12 @@ def trimmed(line: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, least_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, pos, line, id): lines long enough to compare, of documents with an id."""
+    """(doc, text, pos, line, id): lines long enough to compare, of documents with an id;
+    ``text`` tells apart the texts of rows that repeat an id."""
     rows = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line")
+        F.col(id_col).alias("doc"),
+        F.xxhash64(text_col).alias("text"),
+        F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"),
     )
     rows = rows.withColumn("line", trimmed(F.col("line")))
     rows = rows.where(F.char_length("line") >= least_chars)
@@ -169,16 +174,16 @@ def verified(pairs: DataFrame, chars: DataFrame, tau: int) -> DataFrame:
 
 def line_links(docs: DataFrame, tau: int, least_chars: int, id_col: str, text_col: str):
     """(where each line occurs, classes of lines with near duplicates): stored tables
-    (doc, pos, id) and (node, root)."""
+    (doc, text, pos, id) and (node, root)."""
     lines = occurrences(docs, least_chars, id_col, text_col)
-    places = stored(lines.select("doc", "pos", "id"))
+    places = stored(lines.select("doc", "text", "pos", "id"))
     often = stored(
-        places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first"))
+        places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first"))
         .where(F.col("n") >= OFTEN)
-        .select("id", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+        .select("id", "first")
     )
-    once = lines.join(F.broadcast(often) if small(often, 48, BYTES) else often, "id", "left").where(
-        "first_doc is null or (first_doc = doc and first_pos = pos)"
+    once = lines.join(F.broadcast(often) if small(often, 64, BYTES) else often, "id", "left").where(
+        F.col("first").isNull() | (F.col("first") == F.struct(*PLACE))
     )
     entries = add_keys(once.select("id", "line"), tau)
     bucket = Window.partitionBy("key")
@@ -229,19 +234,19 @@ def dropped_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc, drop): positions, in order, of each document's lines that repeat an earlier one."""
+    """(doc, text, drop): positions, in order, of each text's lines that repeat an earlier one."""
     places, classes = line_links(docs, tau, least_chars, id_col, text_col)
     classes = classes.toDF("id", "root")
     classes = F.broadcast(classes) if small(classes, 32, BYTES) else classes
     placed = places.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = (
         placed.groupBy("root")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first"))
         .where("n > 1")
         .select("root", "first")
     )
-    again = placed.join(first, "root").where(F.struct("doc", "pos") != F.col("first"))
-    return again.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    again = placed.join(first, "root").where(F.struct(*PLACE) != F.col("first"))
+    return again.groupBy("doc", "text").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
 def dedup_lines(
@@ -259,27 +264,29 @@ def dedup_lines(
     other, directly or through others, the one of the smallest id, then
     position, stays.  A null text stays null (it has no lines); an empty one
     stays empty.  Rows with a null id stay as they are and take no part.  Rows
-    that repeat an id keep the same positions.  Other columns pass through;
+    that repeat an id are documents of their own, in order of a hash of their texts; those
+    that repeat the text too keep the same lines.  Other columns pass through;
     columns that are named like the added ones are replaced.  An empty table
     gives an empty result.
     """
     drops = stored(dropped_lines(docs, tau, least_chars, id_col, text_col))
     if small(drops, 96, BYTES):
         drops = F.broadcast(drops)
-    drops = drops.toDF("_drop_doc", "_drop")
+    doc, version, drop = (free_name(docs, f"_drop_{k}") for k in ("doc", "text", "positions"))
+    drops = drops.toDF(doc, version, drop)
     joined = docs.drop("n_lines", "dropped").join(
-        drops, F.col(id_col) == F.col("_drop_doc"), "left"
+        drops, (F.col(id_col) == F.col(doc)) & (F.xxhash64(text_col) == F.col(version)), "left"
     )
     lines = lines_of(F.col(text_col))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_drop", i))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(drop, i))
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumns(
         {
             "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)),
-            "dropped": F.coalesce("_drop", F.array().cast("array<int>")),
+            "dropped": F.coalesce(drop, F.array().cast("array<int>")),
             text_col: text,
         }
-    ).drop("_drop", "_drop_doc")
+    ).drop(doc, version, drop)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
