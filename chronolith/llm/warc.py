@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import shared_dir, stored, table, tidied
+from chronolith.llm.common import joined_hot, shared_dir, stored, table, tidied
 
 #: Records in one archive file at most, so that a task reads a bounded file.
 RECORDS_PER_FILE = 1500
@@ -72,23 +72,24 @@ def planned(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Add each page's digest, size and the response that a revisit refers to.
 
     Of equal payloads of at least ``least_bytes`` that with the smallest id is
-    the response.  The minimum is taken before and after the shuffle; the join
-    back is one that Spark splits where a payload is very common.
+    the response; a row without an id only where no row of the payload has one, and of
+    rows with equal ids one.  ``_row`` tells rows apart.  The minimum is taken before and
+    after the shuffle; the join back is one that Spark splits where a payload is very common.
     """
     pages = pages.withColumns(
         {"_digest": base32_sha1(F.col("_html")), "_bytes": F.octet_length("_html").cast("long")}
     )
+    here = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_url", "_row")
     first = (
         pages.where(F.col("_bytes") >= least_bytes)
         .groupBy("_digest")
-        .agg(F.min(F.struct("_id", "_url")).alias("_first"))
+        .agg(F.min(here).alias("_first"))
         .withColumnRenamed("_digest", "_key")
     )
     key = F.when(F.col("_bytes") >= least_bytes, F.col("_digest"))
     return (
         pages.join(first, key == F.col("_key"), "left")
-        .withColumn("_here", F.struct("_id", "_url"))
-        .withColumn("_revisit", F.coalesce(~F.col("_first").eqNullSafe(F.col("_here")), F.lit(False)) & F.col("_key").isNotNull())
+        .withColumn("_revisit", F.col("_key").isNotNull() & (F.col("_first._row") != F.col("_row")))
     )
 
 
@@ -104,18 +105,20 @@ def write_captures(
     """Write the archives of ``pages`` below ``path``, gzip-compressed.
 
     A null page is an empty payload; a null URL is written as empty; line ends
-    in URLs are dropped, as a header can't hold them.  Rows that repeat id, URL
-    and payload are one capture.  A page with a null id is a capture without an
+    in URLs are dropped, as a header can't hold them.  Every row is a capture, whether
+    it repeats another or not.  A page with a null id is a capture without an
     id.  An empty table writes an empty archive.
     """
     rows = pages.select(
         F.col(id_col).alias("_id"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "").alias("_url"),
         F.coalesce(F.col(html_col), F.lit("")).alias("_html"),
+        # the place in the scan, which is the same whenever it is read
+        F.monotonically_increasing_id().alias("_row"),
     )
     rows = planned(rows, least_bytes)
-    own = urn(F.col("_id"), F.col("_url"), F.col("_digest"))
-    first = urn(F.col("_first._id"), F.col("_first._url"), F.col("_digest"))
+    own = urn(F.col("_id"), F.col("_url"), F.col("_digest"), F.col("_row"))
+    first = urn(F.col("_first._id"), F.col("_first._url"), F.col("_digest"), F.col("_first._row"))
     uri = ("WARC-Target-URI", F.col("_url"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_digest")))
     http = F.concat(
@@ -197,6 +200,8 @@ def parse(data: bytes, keep_payload: bool) -> Iterator[dict]:
         begin = stop + 4
         block = data[begin : begin + int(head["content-length"])]
         at = begin + len(block)
+        if len(block) < int(head["content-length"]):
+            raise ValueError(f"the record at byte {begin} ends early")
         kind, payload, own = head.get("warc-type", ""), block, {}
         if "application/http" in head.get("content-type", ""):
             http, _, payload = block.partition(b"\r\n\r\n")
@@ -270,11 +275,12 @@ def assemble(records: DataFrame) -> DataFrame:
         )
 
     whole = main.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left")
-    target = main.where("record_type = 'response'").select(
+    asked = main.where("refers_to is not null").select(F.col("refers_to").alias("record_id")).distinct()
+    target = main.where("record_type = 'response'").join(asked, "record_id", "left_semi").select(
         F.col("record_id").alias("_target"),
         F.struct("payload_digest", "payload_bytes").alias("_original"),
     )
-    whole = whole.join(target, F.col("refers_to") == F.col("_target"), "left")
+    whole = joined_hot(whole, stored(target), "refers_to", "_target")
     revisit = F.col("record_type") == "revisit"
     return whole.select(
         "record_id",
@@ -309,10 +315,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "refers_to",
         "target_uri",
     )
-    named = captures.where("record_type = 'response'").select(
-        F.col("record_id").alias("_target"), F.col("page_id").alias("_page")
-    )
-    return captures.join(named, F.col("refers_to") == F.col("_target"), "left").select(
+    captures = stored(captures)
+    asked = captures.where("refers_to is not null").select(F.col("refers_to").alias("record_id")).distinct()
+    named = captures.where("record_type = 'response'").join(asked, "record_id", "left_semi")
+    named = stored(named.select(F.col("record_id").alias("_target"), F.col("page_id").alias("_page")))
+    return joined_hot(captures, named, "refers_to", "_target").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.col("_page").alias("refers_to"), "target_uri"
     )
 
@@ -322,15 +329,16 @@ with p as (
   select page_id, url, coalesce(html, '') html from pages
 ), d as (
   select page_id, url, octet_length(encode(html)) n, sha1(html) h,
-         min(page_id) over (partition by html) first_id
+         min(page_id) over (partition by html) first_id,
+         row_number() over (partition by html order by page_id nulls last, url) nth
   from p
 )
 select page_id, n::bigint payload_bytes,
   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (((('0x' || substr(h, 5 * (i // 4)::int + 1, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31) + 1)::int, 1)
     for i in range(32)], '') payload_digest,
-  case when page_id = first_id then 'response' else 'revisit' end record_type,
-  case when page_id <> first_id then first_id end refers_to,
+  case when nth = 1 then 'response' else 'revisit' end record_type,
+  case when nth > 1 then first_id end refers_to,
   url target_uri
 from d
 """
