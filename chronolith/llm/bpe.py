@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import map_rows, table
 
 #: Distinct words whose encodings a worker keeps; the cache starts anew beyond it.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Words longer than this are encoded each time, so the cache holds short keys only.
 CACHE_CHARS = 64
 
@@ -164,12 +164,34 @@ class _Words(dict):
         return ids
 
 
+def checked(spec: dict, expected: dict) -> dict:
+    """``spec`` of a vocabulary file, if its settings are those that the code is written for."""
+    for name, value in expected.items():
+        found = spec
+        for part in name.split("."):
+            found = found.get(part)
+        if found != value:
+            raise ValueError(f"{name} of the vocabulary is {found!r}, not {value!r}")
+    return spec
+
+
+#: Settings of vocabulary files that are encoded here.
+SETTINGS = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+    "model.type": "BPE",
+    "model.dropout": None,
+    "model.end_of_word_suffix": None,
+    "model.ignore_merges": False,
+}
+
+
 class ByteBPE:
     """Encoder and decoder for one byte-level vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f), SETTINGS)
         vocab = spec["model"]["vocab"]
         alphabet = byte_alphabet()
         self.byte_id = [vocab[alphabet[b]] for b in range(256)]
