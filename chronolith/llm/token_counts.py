@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.bpe import Merges, Splitter, byte_alphabet, merge_word
+from chronolith.llm.bpe import Merges, Splitter, byte_alphabet, checked, merge_word
 from chronolith.llm.common import map_rows, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -35,12 +35,38 @@ CACHE_WORDS, CACHE_CHARS = 400_000, 6_000_000
 CACHE_PAIRS = 500_000
 
 
+#: Settings of vocabulary files whose tokens are counted here.
+SETTINGS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer.pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+    "model.type": "BPE",
+    "model.dropout": None,
+}
+#: Lower case of letters that came into Unicode behind version 15.1, as the
+#: tokenizers library gives it: single letters, and ranges with their distance.
+NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: How the UTF-8 forms of those letters begin: texts without them need no look at each letter.
+NEWER_BYTES = sorted({chr(c).encode()[:2] if c < 0x10000 else chr(c).encode()[:3] for c in NEWER})
+
+
 class PrefixCounter:
     """Token counts of prefixes under one word-end vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f), SETTINGS)
         vocab, self.end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         alphabet = byte_alphabet()
         back = {c: b for b, c in alphabet.items()}
@@ -131,7 +157,12 @@ class PrefixCounter:
         return k
 
     def normal(self, text: str) -> str:
-        return self.space.sub(" ", unicodedata.normalize("NFC", text)).lower()
+        text = self.space.sub(" ", unicodedata.normalize("NFC", text)).lower()
+        if not text.isascii():
+            raw = text.encode("utf-8")
+            if any(b in raw for b in NEWER_BYTES):
+                text = text.translate(NEWER)
+        return text
 
     def prefix_counts(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, ``out[k]`` tokens in the first ``k`` characters of its normal form.
