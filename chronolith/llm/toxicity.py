@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,6 +73,11 @@ def words_of(text: str | None) -> list[str]:
     return out
 
 
+def bag(text: str | None) -> dict[str, int]:
+    """The words of a text, with how often it has them."""
+    return Counter(words_of(text))
+
+
 #: Entries of a sparse product that are held at once.
 BLOCK = 1 << 18
 
@@ -119,6 +125,11 @@ class Model:
 
 
 def train(texts: list[str | None], labels: np.ndarray, s: Settings) -> Model:
+    """``train_bags`` of the texts' words."""
+    return train_bags([bag(t) for t in texts], labels, s)
+
+
+def train_bags(bags: list[dict[str, int]], labels: np.ndarray, s: Settings) -> Model:
     """Fit embeddings and softmax together; with one class only, its prior remains."""
     rng = np.random.default_rng(s.seed)
     embedding = np.zeros((s.rows, s.dim), np.float32)
@@ -132,11 +143,12 @@ def train(texts: list[str | None], labels: np.ndarray, s: Settings) -> Model:
     bias[:] = np.log(share)
     index: dict[str, int] = {}
     cols, weights = [], []
-    for t in texts:
-        ids = [index.setdefault(w, len(index)) for w in words_of(t)]
-        at, count = np.unique(np.array(ids, dtype=np.int32), return_counts=True)
-        cols.append(at)
-        weights.append((count / max(1, len(ids))).astype(np.float32))
+    for b in bags:
+        at = np.array([index.setdefault(w, len(index)) for w in b], dtype=np.int32)
+        count = np.fromiter(b.values(), np.float64, len(b))
+        order = np.argsort(at)
+        cols.append(at[order])
+        weights.append((count[order] / max(1, count.sum())).astype(np.float32))
     if not index or len(set(labels.tolist())) < 2:
         return model
     docs_size = np.array([len(c) for c in cols])
@@ -219,8 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Train on the labelled, not held-out rows with the smallest id hashes.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic.  Rows with a
-    null id or label are not learned from; null texts count as empty.  The
-    sample, at most ``s.sample_rows`` labels, is all that reaches the driver.
+    null id or label are not learned from; null texts count as empty.  The distinct words
+    of the sample, at most ``s.sample_rows`` rows, with their counts are all that reaches
+    the driver; texts stay where they are.
     """
     chosen = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -229,14 +242,20 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
         .limit(s.sample_rows)
     )
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "text")
-        .limit(s.sample_rows)
-        .toPandas()
-    )
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy(), s)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bags = [bag(t) for t in pdf["text"]]
+            yield pd.DataFrame(
+                {"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": [list(b) for b in bags], "counts": [list(b.values()) for b in bags]}
+            )
+
+    rows = map_rows(rows, counted, f"doc_id {kind}, toxic int, words array<string>, counts array<int>")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "words").limit(s.sample_rows).toPandas()
+    bags = [dict(zip(w, c, strict=True)) for w, c in zip(rows["words"], rows["counts"], strict=True)]
+    return train_bags(bags, rows["toxic"].to_numpy(), s)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
