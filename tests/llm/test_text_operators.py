@@ -100,6 +100,21 @@ def test_token_counts_at_every_prefix(spark, sf_dir):
         assert [count(t[:k]) for k in whole] == [int(got[k]) for k in whole]
 
 
+def test_counts_know_newer_letters():
+    path = token_counts.default_path()
+    library, own = tokenizers.Tokenizer.from_file(path), token_counts.loaded(path)
+    texts = [f"a{chr(c)}b {chr(c)}" for c in token_counts.NEWER] + ["ÀÉß İ ẞ Ω"]
+    assert [own.normal(t) for t in texts] == [library.normalizer.normalize_str(t) for t in texts]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [int(c[-1]) for c in own.prefix_counts(texts)] == want
+
+
+def test_other_vocabularies_are_refused():
+    for load, other in ((bpe.ByteBPE, token_counts.default_path()), (token_counts.PrefixCounter, bpe.default_path())):
+        with pytest.raises((ValueError, KeyError)):
+            load(other)
+
+
 def test_token_budget(spark):
     df = clashing(spark, ["a b c d e", "", None])
     out = token_counts.token_counts(df, budget=3, keep_prefixes=True).orderBy("doc_id").collect()
