@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import small, small_batches, stored, table, tidied
+from chronolith.llm.common import free_name, small, small_batches, stored, table, tidied
 
 #: Most labelled rows that the classifier learns from (smallest id hashes first).
 SAMPLE_ROWS = 20_000
@@ -154,14 +154,21 @@ def log_odds(p: Column) -> Column:
 
 
 def strength(groups: DataFrame, rate: Column, least: float = 1.0, most: float = 1e4) -> DataFrame:
-    """One row (strength): the Beta prior's size from the spread of groups (n, good) around
-    ``rate``, by moments: rate (1 - rate) / variance between groups - 1."""
-    spread = F.sum(F.col("n") * (F.col("good") / F.col("n") - rate) ** 2)
-    within = F.sum(rate * (1 - rate))
-    weight = F.sum("n") - F.sum(F.col("n") * F.col("n")) / F.sum("n")
-    between = F.greatest((spread - within) / F.greatest(weight, F.lit(1.0)), F.lit(1e-9))
-    level = F.sum(F.col("n") * rate * (1 - rate)) / F.sum("n")
-    return groups.agg(F.greatest(F.lit(least), F.least(F.lit(most), level / between - 1)).alias("strength"))
+    """One row (strength): the Beta prior's size from the spread of groups around ``rate``, by
+    moments: rate (1 - rate) / variance between groups - 1.
+
+    Groups have n documents, and sums of their probabilities (good) and of the squares of
+    these (squares).  What the groups' means would differ by chance alone is taken from the
+    variance within groups, pooled.
+    """
+    n, mean = F.col("n"), F.col("good") / F.col("n")
+    spread = F.sum(n * (mean - rate) ** 2)
+    pooled = F.sum(F.col("squares") - n * mean**2) / F.greatest(F.sum("n") - F.count("*"), F.lit(1.0))
+    weight = F.sum("n") - F.sum(n * n) / F.sum("n")
+    between = (spread - F.count("*") * pooled) / F.greatest(weight, F.lit(1.0))
+    level = F.sum(n * rate * (1 - rate)) / F.sum("n")
+    size = level / F.greatest(between, F.lit(1e-9)) - 1
+    return groups.agg(F.greatest(F.lit(least), F.least(F.lit(most), size)).alias("strength"))
 
 
 def site_posteriors(scored: DataFrame, rate: float) -> DataFrame:
@@ -171,10 +178,12 @@ def site_posteriors(scored: DataFrame, rate: float) -> DataFrame:
     partial row of each task.
     """
     good = 1 / (1 + F.exp(-(F.col("evidence") + float(np.log(rate / (1 - rate))))))
-    paths = stored(
-        scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(good).alias("good"))
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "squares")]
+    paths = scored.groupBy("host", "path").agg(
+        F.count("*").cast("double").alias("n"), F.sum(good).alias("good"), F.sum(good * good).alias("squares")
     )
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    paths = stored(paths)
+    hosts = paths.groupBy("host").agg(*sums)
     share = hosts.crossJoin(F.broadcast(strength(hosts, F.lit(rate))))
     shrunk = (F.col("good") + F.col("strength") * rate) / (F.col("n") + F.col("strength"))
     hosts = share.select("host", shrunk.alias("host_rate"))
@@ -192,44 +201,49 @@ def classify(
     text_col: str = "text",
     host_col: str = "source",
     path_col: str = "lang",
+    keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` with ``quality_evidence``, ``quality_host``, ``quality_path`` (posterior
     rates) and ``quality_score`` (posterior probability of being good) added.
 
-    A null host or path is a site of its own.  Null and empty texts have the
+    A null host or path is a site of its own.  A document counts in its own site's
+    rates, as one of n.  Null and empty texts have the
     evidence of a text without words.  Rows repeat as they came; columns named
-    like the added ones are replaced.  An empty table, or one without labels,
-    gives prior scores.  Texts are never shuffled while the table of site
-    posteriors, which holds a row for each host and path, is measured as small;
-    else rows are joined with it by shuffle, where Spark splits hot hosts.
+    like the added ones are replaced, all other names are free.  An empty table, or one
+    without labels, gives prior scores.  Texts are read once; without ``keep_text`` they are
+    dropped there, with it they are written beside their evidence.  They are never shuffled
+    while the table of site posteriors, which holds a row for each host and path, is measured
+    as small; else rows are joined with it by shuffle, where Spark splits hot hosts.
     """
     spark = docs.sparkSession
     model, rate = fit(docs.withColumn("text", F.col(text_col)), labels, sample_rows)
     evidence = evidence_column(spark, model)
     none = F.lit("\x00")
-    site = {
-        "_host": F.coalesce(F.col(host_col).cast("string"), none),
-        "_path": F.coalesce(F.col(path_col).cast("string"), none),
-    }
-    scored = docs.select(
-        site["_host"].alias("host"), site["_path"].alias("path"), evidence(F.col(text_col)).alias("evidence")
+    docs = docs.drop("quality_evidence", "quality_host", "quality_path", "quality_score")
+    host, path = free_name(docs, "_host"), free_name(docs, "_path")
+    rows = docs.withColumns(
+        {
+            host: F.coalesce(F.col(host_col).cast("string"), none),
+            path: F.coalesce(F.col(path_col).cast("string"), none),
+            "quality_evidence": evidence(F.col(text_col)),
+        }
     )
+    rows = stored(rows if keep_text else rows.drop(text_col))
+    scored = rows.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col("quality_evidence").alias("evidence"))
     sites = site_posteriors(scored, rate).select(
-        F.col("host").alias("_host"),
-        F.col("path").alias("_path"),
+        F.col("host").alias(host),
+        F.col("path").alias(path),
         F.col("host_rate").alias("quality_host"),
         F.col("path_rate").alias("quality_path"),
     )
-    added = ["quality_evidence", "quality_host", "quality_path", "quality_score"]
-    rows = docs.drop(*added).withColumns(site | {"quality_evidence": evidence(F.col(text_col))})
-    rows = rows.join(F.broadcast(sites) if small(sites, 128, BYTES) else sites, ["_host", "_path"], "left")
+    rows = rows.join(F.broadcast(sites) if small(sites, 128, BYTES) else sites, [host, path], "left")
     z = F.col("quality_evidence") + log_odds(F.col("quality_path"))
-    return rows.withColumn("quality_score", 1 / (1 + F.exp(-z))).drop("_host", "_path")
+    return rows.withColumn("quality_score", 1 / (1 + F.exp(-z))).drop(host, path)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    out = classify(docs, table(spark, sf_dir, "labels"))
+    out = classify(docs, table(spark, sf_dir, "labels"), keep_text=False)
     return out.select(
         "doc_id",
         "quality_evidence",

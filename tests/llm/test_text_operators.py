@@ -219,10 +219,47 @@ def test_quality_rejects_junk_and_shrinks_sites(spark):
     assert rate["big"] < rate["one"] < rate["good"]
 
 
+def plain_posteriors(rows, rate):
+    """``site_posteriors`` in plain numpy: {(host, path): (host_rate, path_rate)}."""
+    p = {}
+    for host, path, evidence in rows:
+        p.setdefault((host, path), []).append(1 / (1 + np.exp(-(evidence + np.log(rate / (1 - rate))))))
+
+    def size(groups, rates):
+        n, mean = np.array([len(g) for g in groups]), np.array([np.mean(g) for g in groups])
+        within = sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in groups) / max(n.sum() - len(n), 1)
+        between = ((n * (mean - rates) ** 2).sum() - len(n) * within) / max(n.sum() - (n**2).sum() / n.sum(), 1)
+        level = (n * rates * (1 - rates)).sum() / n.sum()
+        return max(1.0, min(1e4, level / max(between, 1e-9) - 1))
+
+    hosts = sorted({h for h, _ in p})
+    by_host = [[x for (h, _), g in p.items() if h == host for x in g] for host in hosts]
+    k = size(by_host, np.full(len(hosts), rate))
+    host_rate = {h: (sum(g) + k * rate) / (len(g) + k) for h, g in zip(hosts, by_host, strict=True)}
+    k = size(list(p.values()), np.array([host_rate[h] for h, _ in p]))
+    return {(h, q): (host_rate[h], (sum(g) + k * host_rate[h]) / (len(g) + k)) for (h, q), g in p.items()}
+
+
+def test_site_posteriors_are_those_of_numpy(spark):
+    rng = random.Random(9)
+    rows = []
+    for h in range(12):
+        centre = rng.gauss(0, 2)
+        for p in range(rng.randint(1, 4)):
+            rows += [(f"h{h}", f"p{p}", rng.gauss(centre + p / 2, 1.5)) for _ in range(rng.choice([1, 2, 30, 200]))]
+    for rate in (0.2, 0.7):
+        got = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double"), rate)
+        want = plain_posteriors(rows, rate)
+        assert {(r.host, r.path): (r.host_rate, r.path_rate) for r in got.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    one = [("h", "p", 1.0)]
+    (r,) = quality.site_posteriors(spark.createDataFrame(one, "host string, path string, evidence double"), 0.5).collect()
+    assert (r.host_rate, r.path_rate) == pytest.approx(plain_posteriors(one, 0.5)["h", "p"])
+
+
 def test_quality_edges(spark):
-    docs = clashing(spark, WEIRD).withColumns({"source": F.lit(None).cast("string"), "lang": F.lit("en"), "quality_score": F.lit("x")})
+    docs = clashing(spark, WEIRD).withColumns({"source": F.lit(None).cast("string"), "lang": F.lit("en"), "quality_score": F.lit("x"), "_host": F.lit("kept"), "_path": F.lit("kept")})
     none = spark.createDataFrame([], "doc_id long, quality int")
     out = quality.classify(docs, none).collect()
-    assert len(out) == docs.count() and all(0 < r.quality_score < 1 for r in out)
+    assert len(out) == docs.count() and all(0 < r.quality_score < 1 and r._host == r._path == "kept" for r in out)
     assert quality.classify(empty(spark), none).count() == 0
     assert np.allclose(quality.features(None), 0)
