@@ -23,14 +23,15 @@ def activity_spans(history: DataFrame) -> DataFrame:
     )
 
 
-def parked_spans(events: DataFrame) -> DataFrame:
-    """Per park: the time until the next event of the key that ends it; null while parked."""
-    w = Window.partitionBy("key").orderBy("ts", "event_id")
+def parked_spans(events: DataFrame, keys: tuple[str, ...] = ("key", "cond_seq")) -> DataFrame:
+    """Per park: the time until the next event of the same condition that ends it; null while
+    parked.  A condition may park again under its number."""
+    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
     rows = events.where(F.col("type").isin("conditionParked", "conditionUnparked")).withColumns(
         {"next_type": F.lead("type").over(w), "next_ts": F.lead("ts").over(w)}
     )
     ended = F.when(F.col("next_type") == "conditionUnparked", F.col("next_ts") - F.col("ts"))
-    return rows.where("type = 'conditionParked'").select("key", "event_id", "ts", ended.alias("parked_ms"))
+    return rows.where("type = 'conditionParked'").select(*keys, "event_id", "ts", ended.alias("parked_ms"))
 
 
 def first_decision(events: DataFrame, kind: str) -> DataFrame:
@@ -41,8 +42,11 @@ def first_decision(events: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def retry_gaps(events: DataFrame) -> DataFrame:
-    """Per retry: the time until the key's next event."""
-    w = Window.partitionBy("key").orderBy("ts", "event_id")
-    rows = events.withColumn("gap_ms", F.lead("ts").over(w) - F.col("ts"))
-    return rows.where("type = 'activityRetryScheduled'").select("key", "event_id", "gap_ms")
+def retry_gaps(events: DataFrame, keys: tuple[str, ...] = ("key", "seq")) -> DataFrame:
+    """Per retry: the time until the activity starts next; null where it doesn't."""
+    # from the back, so that a frame only grows
+    w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.last(F.when(F.col("type") == "activityStarted", F.col("ts")), ignorenulls=True).over(w)
+    rows = events.where(F.col("type").isin("activityRetryScheduled", "activityStarted"))
+    rows = rows.withColumn("gap_ms", start - F.col("ts"))
+    return rows.where("type = 'activityRetryScheduled'").select(*keys, "event_id", "gap_ms")

@@ -148,8 +148,8 @@ def retrying_activities_all(spark, d):
 
 # -- pending work and detail --------------------------------------------------
 
-PENDING = """select workflow_id, seq, pos, ts since{more} from h m where type = '{marker}' and not exists (
-  select 1 from h c where c.workflow_id = m.workflow_id and c.seq = m.seq and c.type in ({done}))"""
+PENDING = """, c as (select workflow_id, seq from h where type in ({done}))
+  select workflow_id, seq, pos, ts since{more} from (select * from h where type = '{marker}') m anti join c using (workflow_id, seq)"""
 
 
 @query(PENDING.format(marker="activityScheduled", done="'activityCompleted', 'activityFailed'", more=""))
@@ -450,7 +450,7 @@ WORKDAYS = calendar.Rule(minute=(0, 30), hour=(9, 17), day_of_week=(1, 2, 3, 4,
 )
 def calendar_next_fire_utc(spark, d):
     at = X(spark, d).select(F.col("created_at").alias("after")).distinct()
-    return at.select("after", calendar.next_fire_utc(WORKDAYS, F.col("after")).alias("fire"))
+    return at.select("after", calendar.next_fire(WORKDAYS, F.col("after")).alias("fire"))
 
 
 @query(
@@ -463,7 +463,21 @@ def calendar_next_fire_tz(spark, d):
     """Nine in the morning on workdays in Chicago: no reading that the zone skips."""
     rule = calendar.Rule(hour=(9,), day_of_week=(1, 2, 3, 4, 5), tz="America/Chicago")
     at = X(spark, d).select(F.col("created_at").alias("after")).distinct()
-    return at.select("after", calendar.next_fire_column(rule, F.col("after")).alias("fire"))
+    return at.select("after", calendar.next_fire(rule, F.col("after")).alias("fire"))
+
+
+@query(
+    """, t as (select distinct created_at as known from x),
+  c as (select known, epoch_ms(make_timestamp(d * 86400000000 + m::bigint * 60000000) at time zone 'America/Chicago') fire
+    from t, (select unnest([375, 1080]) m) mm, lateral (select unnest(range(known // 86400000 - 40, known // 86400000 + 2)) d) dd
+    where day(make_timestamp(d * 86400000000)) in (1, 15))
+  select known, max(fire) fire from c where fire <= known group by 1"""
+)
+def calendar_previous_fire(spark, d):
+    """A quarter past six and six in the evening on the first and fifteenth in Chicago."""
+    at = X(spark, d).select(F.col("created_at").alias("known")).distinct()
+    fires = [calendar.Rule((m,), (h,), (1, 15), tz="America/Chicago") for h, m in ((6, 15), (18, 0))]
+    return at.select("known", F.greatest(*[calendar.previous_fire(r, F.col("known")) for r in fires]).alias("fire"))
 
 
 @query(
@@ -514,13 +528,14 @@ def span_queue_vs_run(spark, d):
 
 
 @query(
-    """, p as (select *, lead(type) over q next_type, lead(ts) over q next_ts from e
-    where type in ('conditionParked', 'conditionUnparked') window q as (partition by key order by ts, event_id))
-  select key, event_id, ts, case when next_type = 'conditionUnparked' then next_ts - ts end parked_ms
+    """, p as (select *, event_id % 2 cond_seq, lead(type) over q next_type, lead(ts) over q next_ts from e
+    where type in ('conditionParked', 'conditionUnparked') window q as (partition by key, event_id % 2 order by ts, event_id))
+  select key, cond_seq, event_id, ts, case when next_type = 'conditionUnparked' then next_ts - ts end parked_ms
   from p where type = 'conditionParked'"""
 )
 def span_parked(spark, d):
-    return spans.parked_spans(bridge.stream_events(spark, d))
+    events = bridge.stream_events(spark, d)
+    return spans.parked_spans(events.withColumn("cond_seq", F.col("event_id") % 2))
 
 
 @query(
@@ -532,11 +547,17 @@ def first_decision(spark, d):
 
 
 @query(
-    """, g as (select *, lead(ts) over (partition by key order by ts, event_id) - ts gap_ms from e)
-  select key, event_id, gap_ms from g where type = 'activityRetryScheduled'"""
+    """, r as (select key, event_id % 2 seq, event_id, ts, type from e)
+  select key, seq, event_id, (select min(s.ts) from r s where s.type = 'signal' and s.key = r.key and s.seq = r.seq
+    and (s.ts, s.event_id) > (r.ts, r.event_id)) - ts gap_ms
+  from r where type = 'activityRetryScheduled'"""
 )
 def span_retry_gap(spark, d):
-    return spans.retry_gaps(bridge.stream_events(spark, d))
+    """Signals stand for starts, which the stream has none of."""
+    events = bridge.stream_events(spark, d).withColumns(
+        {"seq": F.col("event_id") % 2, "type": F.when(F.col("type") == "signal", "activityStarted").otherwise(F.col("type"))}
+    )
+    return spans.retry_gaps(events)
 
 
 # -- differences and duplicates -----------------------------------------------

@@ -1,6 +1,7 @@
 """Fixed inputs and outputs of the operators, small enough to read."""
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,33 +193,81 @@ def ms(*parts):
     return int(datetime(*parts, tzinfo=timezone.utc).timestamp() * 1000)
 
 
-CHICAGO = {"tz": "America/Chicago"}
+def plain_fires(rule, start, end):
+    """All instants of a rule from ``start`` to ``end``, minute by minute: a reading is met when the
+    zone's clock shows it, or a later one, for the first time."""
+    zone, out, seen = ZoneInfo(rule.tz), [], None
+
+    def matches(w):
+        return (
+            w.minute in rule.minute and w.hour in rule.hour
+            and (rule.day_of_month is None or w.day in rule.day_of_month)
+            and (rule.month is None or w.month in rule.month)
+            and (rule.day_of_week is None or w.isoweekday() % 7 in rule.day_of_week)
+        )
+
+    for t in range(start - 172_800_000, end + 1, 60_000):
+        shown = datetime.fromtimestamp(t // 1000, zone).replace(tzinfo=None)
+        w = shown if seen is None else seen + timedelta(minutes=1)
+        while w <= shown:
+            if matches(w) and t not in out:
+                out.append(t)
+            w += timedelta(minutes=1)
+        seen = shown if seen is None else max(seen, shown)
+    return out
+
+
 CALENDAR = [
-    (Rule(), ms(2026, 6, 15, 10, 30), ms(2026, 6, 16)),
-    (Rule((30,), (9,)), ms(2026, 6, 15, 8), ms(2026, 6, 15, 9, 30)),
-    (Rule((30,), (9,)), ms(2026, 6, 15, 9, 30), ms(2026, 6, 16, 9, 30)),
-    (Rule(hour=(9, 17)), ms(2026, 6, 15, 9), ms(2026, 6, 15, 17)),
-    (Rule(hour=(9,), day_of_week=(1, 2, 3, 4, 5)), ms(2026, 6, 19, 10), ms(2026, 6, 22, 9)),
-    (Rule(day_of_month=(1,), month=(1,)), ms(2026, 6, 15), ms(2027, 1, 1)),
-    (Rule(day_of_month=(13,), day_of_week=(5,)), ms(2026, 6, 15), ms(2026, 11, 13)),
-    (Rule(day_of_month=(29,), month=(2,)), ms(2026, 6, 15), ms(2028, 2, 29)),
-    (Rule(hour=(9,), **CHICAGO), ms(2026, 6, 1), ms(2026, 6, 1, 14)),
-    (Rule((30,), (2,), **CHICAGO), ms(2026, 3, 8, 6), ms(2026, 3, 8, 8)),
-    (Rule((30,), (1,), **CHICAGO), ms(2026, 11, 1), ms(2026, 11, 1, 6, 30)),
-    (Rule((30,), (1,), **CHICAGO), ms(2026, 11, 1, 6, 30), ms(2026, 11, 2, 7, 30)),
+    (Rule(), ms(2031, 5, 7, 1), 3),
+    (Rule((5, 50), (0, 13)), ms(2031, 12, 31, 12), 3),
+    (Rule(hour=(7,), day_of_week=(0, 6)), ms(2031, 5, 7), 9),
+    (Rule((30,), (2,), tz="Europe/Berlin"), ms(2031, 3, 29), 4),  # skipped on the 30th
+    (Rule((15,), (2,), tz="Europe/Berlin"), ms(2031, 10, 25), 4),  # twice on the 26th
+    (Rule((10,), (2,), tz="Australia/Lord_Howe"), ms(2031, 10, 3), 4),  # skips half an hour
+    (Rule((0,), (0,), tz="America/Santiago"), ms(2031, 9, 5), 4),  # skips midnight
+    (Rule((45,), (23,), tz="Pacific/Auckland"), ms(2031, 4, 4), 4),
 ]
 
 
-@pytest.mark.parametrize(("rule", "after", "fire"), CALENDAR)
-def test_calendar(rule, after, fire):
-    assert calendar.next_occurrence(rule, after) == fire
+@pytest.mark.parametrize(("rule", "start", "days"), CALENDAR)
+def test_calendar(spark, rule, start, days):
+    end = start + days * 86_400_000
+    fires = plain_fires(rule, start, end)
+    at = sorted({start, *[f + d for f in fires for d in (-60_000, 0, 60_000) if start <= f + d < end]})
+    df = spark.createDataFrame([(t,) for t in at] + [(None,)], "t long")
+    got = df.select("t", calendar.next_fire(rule, F.col("t")).alias("n"), calendar.previous_fire(rule, F.col("t")).alias("p")).collect()
+    for r in got:
+        if r.t is None:
+            assert r.n is None and r.p is None
+            continue
+        if any(f > r.t for f in fires):
+            assert r.n == min(f for f in fires if f > r.t)
+        if any(f <= r.t for f in fires):
+            assert r.p == max(f for f in fires if f <= r.t)
+
+
+def test_calendar_looks_far(spark):
+    leap = Rule(day_of_month=(29,), month=(2,))
+    assert one(spark, calendar.next_fire(leap, F.lit(ms(2032, 2, 29)))) == ms(2036, 2, 29)
+    assert one(spark, calendar.next_fire(leap, F.lit(ms(2096, 3, 1)))) == ms(2104, 2, 29)
+    assert one(spark, calendar.previous_fire(leap, F.lit(ms(2035, 1, 1)))) == ms(2032, 2, 29)
+    never = Rule(day_of_month=(30,), month=(2,))
+    assert one(spark, calendar.next_fire(never, F.lit(0))) is None
+    assert Rule(hour=(24,), tz="Nowhere/At_All").problems() == ["hour must be from 0 to 23", "unknown time zone Nowhere/At_All"]
 
 
-def test_calendar_column(spark):
-    df = spark.createDataFrame([(CALENDAR[9][1],), (None,)], "t long")
-    got = [r.f for r in df.select(calendar.next_fire_column(CALENDAR[9][0], F.col("t")).alias("f")).collect()]
-    assert got == [CALENDAR[9][2], None]
-    assert Rule(hour=(24,), tz="Nowhere/At_All").problems() == ["hour must be from 0 to 23", "unknown time zone Nowhere/At_All"]
+def test_spans_keep_conditions_and_activities_apart(spark):
+    from chronolith.operators import spans
+
+    rows = [
+        (1, "k", 0, 10, "conditionParked"), (2, "k", 1, 20, "conditionParked"), (3, "k", 1, 30, "conditionUnparked"), (4, "k", 0, 50, "conditionUnparked"),
+        (5, "k", 0, 60, "activityRetryScheduled"), (6, "k", 1, 65, "activityStarted"), (7, "k", 0, 66, "activityCompleted"), (8, "k", 0, 75, "activityStarted"),
+        (9, "k", 1, 80, "activityRetryScheduled"),
+    ]
+    e = spark.createDataFrame(rows, "event_id int, key string, seq int, ts long, type string")
+    parked = spans.parked_spans(e.withColumnRenamed("seq", "cond_seq"))
+    assert {r.event_id: r.parked_ms for r in parked.collect()} == {1: 40, 2: 10}
+    assert {r.event_id: r.gap_ms for r in spans.retry_gaps(e).collect()} == {5: 15, 9: None}
 
 
 def test_differs(spark):
