@@ -148,8 +148,8 @@ def retrying_activities_all(spark, d):
 
 # -- pending work and detail --------------------------------------------------
 
-PENDING = """, c as (select workflow_id, seq from h where type in ({done}))
-  select workflow_id, seq, pos, ts since{more} from (select * from h where type = '{marker}') m anti join c using (workflow_id, seq)"""
+PENDING = """select workflow_id, seq, pos, ts since{more} from (select * from h where type = '{marker}') m
+  anti join (select workflow_id, seq from h where type in ({done})) c using (workflow_id, seq)"""
 
 
 @query(PENDING.format(marker="activityScheduled", done="'activityCompleted', 'activityFailed'", more=""))
