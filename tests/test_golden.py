@@ -298,6 +298,59 @@ def test_schema_issues(spark):
     assert shape.json_schema()["required"] == ["a", "c"]
 
 
+def outcome(spark, texts, column):
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", column.alias("c")).collect()
+    return {r.t: r.c for r in rows}
+
+
+def test_schema_of_lists_records_and_unions(spark):
+    shape = schema.obj(
+        {
+            "xs": schema.array(schema.integer(low=0), high=3),
+            "by": schema.record(schema.boolean(), optional=True),
+            "u": schema.union(schema.literal("on"), schema.literal(7), schema.obj({"z": schema.string()}), optional=True),
+            "d": schema.defaulted(schema.number(), 1.5),
+        }
+    )
+    cases = {
+        '{"xs": []}': None,
+        '{"xs": [1, 2], "by": {"a": true}, "u": 7, "d": 2}': None,
+        '{"xs": [1, -1, -2]}': "$.xs[1]: too small",
+        '{"xs": [1, null]}': "$.xs[1]: expected a number",
+        '{"xs": [1, 1, 1, 1]}': "$.xs: too many",
+        '{"xs": {"a": 1}}': "$.xs: expected an array",
+        '{"xs": [], "by": {"a": true, "b": 1}}': "$.by.b: expected a boolean",
+        '{"xs": [], "by": {"a": null}}': "$.by.a: expected a boolean",
+        '{"xs": [], "u": 8}': "$.u: fits none of the branches",
+        '{"xs": [], "u": {"z": "s", "more": 1}}': None,
+        '{"xs": [], "d": null}': "$.d: expected a number",
+    }
+    assert outcome(spark, cases, schema.first_issue(F.col("t"), shape)) == cases
+    read = {
+        '{"xs": [], "other": 1}': '{"xs":[],"d":1.5}',
+        '{"u": {"z": "q\\"", "more": 1}, "xs": [3], "by": {"b\\"": true, "a": false}, "d": 2}':
+            '{"xs":[3],"by":{"a":false,"b\\"":true},"u":{"z":"q\\""},"d":2}',
+        '{"xs": [-1]}': None,
+    }
+    assert outcome(spark, read, schema.shaped(F.col("t"), shape)) == read
+    assert set(outcome(spark, [*read, *cases], schema.round_trip_problem(F.col("t"), shape)).values()) == {None}
+    assert shape.json_schema()["required"] == ["xs"]
+    assert shape.json_schema()["properties"]["d"]["default"] == 1.5
+
+
+def test_undeclared_keys_inside_lists(spark):
+    shape = schema.obj(
+        {"a": schema.array(schema.obj({"b": schema.array(schema.obj({"c": schema.unknown()}))})), "r": schema.record(schema.obj({}))}
+    )
+    cases = {
+        '{"a": [{"b": []}, {"b": [{"c": 1}, {"c": 1, "d": 2}], "e": 3}], "f": 4}': ["$.a[1].b[1].d", "$.a[1].e", "$.f"],
+        '{"a": 1, "r": {"x": {"any": 1}}}': [],
+        "[1]": [],
+        "{": [],
+    }
+    assert outcome(spark, cases, schema.strict_problems(F.col("t"), shape)) == cases
+
+
 def test_names(spark):
     assert one(spark, text.id_suffix(F.lit("greeter-12"))) == 12
     assert one(spark, text.id_suffix(F.lit("greeter"))) is None
