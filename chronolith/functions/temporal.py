@@ -91,3 +91,20 @@ def spec_problems(every: Column, not_before: Column, not_after: Column) -> Colum
         F.when(not_before >= not_after, "the bounds leave no time"),
     )
     return F.filter(found, lambda x: x.isNotNull())
+
+
+#: Milliseconds of the units that connectors accept, by name (fixed values); case counts.
+CONNECTOR_UNITS = {
+    "ms": 1, "millisecond": 1, "milliseconds": 1,
+    "s": 1_000, "sec": 1_000, "secs": 1_000, "second": 1_000, "seconds": 1_000,
+    "m": 60_000, "min": 60_000, "mins": 60_000, "minute": 60_000, "minutes": 60_000,
+    "h": 3_600_000, "hour": 3_600_000, "hours": 3_600_000,
+}
+
+
+def connector_ms(text: Column) -> Column:
+    """Milliseconds of one whole number and a unit, as connectors write them ("5m"); null for
+    anything else: fractions, several terms, days and upper case."""
+    part = lambda i: F.regexp_extract(F.trim(text), r"^(\d+)\s*([a-z]+)$", i)
+    size = F.create_map(*[F.lit(v) for pair in CONNECTOR_UNITS.items() for v in pair])
+    return part(1).try_cast("long") * F.try_element_at(size, part(2))

@@ -36,3 +36,17 @@ def status_kind(status: Column) -> Column:
         .when(status >= 500, "unavailable")
         .otherwise("invalid")
     )
+
+
+#: Kinds of connector errors, and whether trying again may help (fixed values).
+RETRYABLE = {
+    "invalid": False, "notFound": False, "conflict": False, "denied": False,
+    "unavailable": True, "upstream": True, "drift": False,
+}
+
+
+def retryable(kind: Column) -> Column:
+    """Whether a connector error of a kind is worth another attempt; kinds that are not known
+    are left to the retry policy, so they are."""
+    known = F.create_map(*[F.lit(v) for pair in RETRYABLE.items() for v in pair])
+    return F.coalesce(F.try_element_at(known, kind), F.lit(True))

@@ -81,3 +81,36 @@ def close_effects(executions: DataFrame, policies: DataFrame) -> DataFrame:
         .join(policies, "workflow_id", "left")
         .select("workflow_id", "parent_id", F.coalesce("policy", F.lit("abandon")).alias("effect"))
     )
+
+
+def close_cascade(executions: DataFrame, roots: DataFrame) -> DataFrame:
+    """What closing ``roots`` does to all running executions below: (workflow_id, effect).
+
+    ``executions`` holds (workflow_id, parent_id, status, policy, cancelling).  A child that is
+    terminated closes its own children in turn, unless it was being cancelled already; one
+    that is cancelled has everything that runs below cancelled; an abandoned one and what is
+    below it stay.  An execution reached in several ways has the strongest effect: close,
+    terminate, cancel.  Levels are written, and what was reached before is not walked again, so
+    a cycle ends.
+    """
+    spark = executions.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+        spark.sparkContext.setCheckpointDir(base)
+    child = executions.where("status = 'running' and parent_id is not null").select(
+        "workflow_id", "parent_id", F.coalesce("policy", F.lit("abandon")).alias("policy"),
+        F.coalesce("cancelling", F.lit(False)).alias("cancelling"),
+    )
+    child = child.checkpoint()
+    level = roots.select("workflow_id", F.lit("close").alias("effect")).distinct().checkpoint()
+    out = level
+    while not level.isEmpty():
+        met = level.select(F.col("workflow_id").alias("parent_id"), F.col("effect").alias("cause")).join(child, "parent_id")
+        effect = F.when((F.col("cause") == "cancel") | (F.col("policy") == "cancel"), "cancel").when(
+            (F.col("policy") == "terminate") & ~F.col("cancelling"), "terminate"
+        )
+        met = met.select("workflow_id", effect.alias("effect")).where("effect is not null").distinct()
+        level = met.join(out, ["workflow_id", "effect"], "left_anti").checkpoint()
+        out = out.union(level)
+    rank = F.when(F.col("effect") == "close", 0).when(F.col("effect") == "terminate", 1).otherwise(2)
+    return out.groupBy("workflow_id").agg(F.min_by("effect", rank).alias("effect"))

@@ -95,3 +95,13 @@ def current_reports(reports: DataFrame, workers: DataFrame, now: int) -> DataFra
         F.col("busy") | (F.col("polled_at") >= now - FRESH_MS)
     )
     return reports.join(live.select("task_queue", "identity"), ["task_queue", "identity"], "left_semi")
+
+
+def resolved(workers: DataFrame, reports: DataFrame) -> DataFrame:
+    """Workers with the names that they serve: those of the report of the same identity and
+    queue whose digest the worker's own polls carry; null where it has none or another.
+
+    ``workers`` holds (task_queue, identity, digest), ``reports`` (task_queue, identity, digest, names).
+    """
+    keys = ["task_queue", "identity", "digest"]
+    return workers.join(reports.select(*keys, "names"), keys, "left")

@@ -11,7 +11,7 @@ from chronolith.functions import calendar, schema, temporal, text
 from chronolith.operators import differ, dispatch, grouping, lineage, listing, liveness, pending, spans
 from chronolith.operators.listing import ExecutionFilter
 from chronolith.plans import describe
-from chronolith.sources import bridge
+from chronolith.sources import bridge, files
 from chronolith.sources.bridge import CTE
 from chronolith.streaming import jobs
 
@@ -299,6 +299,76 @@ def parent_close_effects(spark, d):
     return lineage.close_effects(x, policies.where("policy is not null"))
 
 
+@query(
+    """, c as (select *, case k % 4 when 0 then 'terminate' when 1 then 'cancel' when 2 then 'terminate' else 'abandon' end as policy,
+    k % 7 = 0 cancelling from x),
+  t as (select workflow_id, 'close' effect from c where task_failures = 2
+    union select c.workflow_id, case when t.effect = 'cancel' or c.policy = 'cancel' then 'cancel' else 'terminate' end
+    from t join c on c.parent_id = t.workflow_id
+    where c.status = 'running' and (t.effect = 'cancel' or c.policy = 'cancel' or (c.policy = 'terminate' and not c.cancelling)))
+  select workflow_id, arg_min(effect, case effect when 'close' then 0 when 'terminate' then 1 else 2 end) effect from t group by 1""",
+    recursive=True,
+)
+def parent_close_cascade(spark, d):
+    x = X(spark, d)
+    k = F.col("k") % 4
+    policy = F.when(k == 1, "cancel").when(k == 3, "abandon").otherwise("terminate")
+    x = x.withColumns({"policy": policy, "cancelling": F.col("k") % 7 == 0})
+    return lineage.close_cascade(x, x.where("task_failures = 2"))
+
+
+# -- changes to executions and histories --------------------------------------
+
+
+@query("select workflow_id, pos, type from h where pos < 6")
+def history_truncated(spark, d):
+    return files.truncated(H(spark, d), 6).select("workflow_id", "pos", "type")
+
+
+@query("select workflow_id from x where k % 3 <> 0")
+def executions_deleted(spark, d):
+    x = X(spark, d)
+    return files.without(x, x.where("k % 3 = 0")).select("workflow_id")
+
+
+@query("select workflow_id, case when k % 5 = 0 then 'terminated' else status end status from x union all select 'new-' || k, status from x where k % 97 = 0")
+def metadata_upsert(spark, d):
+    x = X(spark, d).select("workflow_id", "status", "k")
+    first = x.where("k % 5 = 0").withColumns({"status": F.lit("failed"), "at": F.lit(1)})
+    second = x.where("k % 5 = 0").withColumns({"status": F.lit("terminated"), "at": F.lit(2)})
+    new = x.where("k % 97 = 0").withColumns({"workflow_id": F.concat(F.lit("new-"), F.col("k")), "at": F.lit(1)})
+    return files.upserted(x, first.union(second).union(new), "at").select("workflow_id", "status")
+
+
+@query(
+    """, n as (select workflow_id, count(*) history_length from h group by 1)
+  select workflow_id, run_id + case when history_length >= 20 then 1 else 0 end run_id,
+    case when history_length >= 20 then 0 else coalesce(history_length, 0) end history_length from x left join n using (workflow_id)"""
+)
+def rollover(spark, d):
+    """Executions with 20 events go on as a new run."""
+    h = H(spark, d)
+    x, left = files.rolled_over(X(spark, d), h, files.suggested(h, 20))
+    n = left.groupBy("workflow_id").agg(F.count("*").alias("history_length"))
+    return x.join(n, "workflow_id", "left").select("workflow_id", "run_id", F.coalesce("history_length", F.lit(0)).alias("history_length"))
+
+
+@query(
+    """, n as (select h.workflow_id, row_number() over (partition by h.workflow_id order by pos) nth, k from h join x using (workflow_id)),
+  c as (select workflow_id, count(*) events from n where k % 4 <> 0 or nth <= k % 6 group by 1)
+  select workflow_id, case when k % 4 = 0 then 'running' else status end status, case when k % 4 = 0 then 0 else task_failures end task_failures,
+    case when k % 4 <> 0 then closed_at end closed_at, coalesce(events, 0) events from x left join c using (workflow_id)"""
+)
+def execution_reset(spark, d):
+    rows = X(spark, d)
+    points = rows.where("k % 4 = 0").select("workflow_id", (F.col("k") % 6).alias("keep"))
+    x, h = files.reset(rows, H(spark, d), points)
+    n = h.groupBy("workflow_id").agg(F.count("*").alias("events"))
+    return x.join(n, "workflow_id", "left").select(
+        "workflow_id", "status", "task_failures", "closed_at", F.coalesce("events", F.lit(0)).alias("events")
+    )
+
+
 # -- workers and queues -------------------------------------------------------
 
 LATEST = """, v as (select task_queue, role, identity, arg_max({t: polled_at, busy: busy, serves: serves}, (polled_at, event_id)) l
@@ -404,6 +474,22 @@ def report_current(spark, d):
     return rows.select("name", "task_queue", "identity").distinct()
 
 
+@query(
+    LATEST + """, o as (select task_queue, identity, list_sort(list_distinct(serves)) own from u where role = 'workflow'),
+  r as (select task_queue, identity, list_sort(list(distinct name)) names
+    from (select task_queue, identity, unnest(serves) as name from w where serves is not null and identity is not null) group by 1, 2)
+  select o.task_queue, o.identity, array_to_string(r.names, ',') served from o left join r
+    on o.task_queue = r.task_queue and o.identity = r.identity and o.own = r.names"""
+)
+def report_resolution(spark, d):
+    workers = liveness.latest(bridge.polls(spark, d)).where("role = 'workflow'")
+    digest = F.when(F.col("serves").isNotNull(), liveness.report_digest(F.array_distinct("serves")))
+    workers = workers.select("task_queue", "identity", digest.alias("digest"))
+    told = reports(spark, d).groupBy("task_queue", "identity").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    rows = liveness.resolved(workers, told.withColumn("digest", liveness.report_digest(F.col("names"))))
+    return rows.select("task_queue", "identity", F.array_join("names", ",").alias("served"))
+
+
 # -- times --------------------------------------------------------------------
 
 
@@ -660,6 +746,71 @@ def json_schema_strict_problems(spark, d):
     return e.select("event_id", F.array_join(schema.strict_problems(made, shape), ",").alias("problems"))
 
 
+LISTS = schema.obj(
+    {
+        "xs": schema.array(schema.integer(low=1, high=4)),
+        "u": schema.union(schema.literal("on"), schema.integer(low=5)),
+        "d": schema.defaulted(schema.integer(), 9),
+    }
+)
+
+
+def lists(spark, d):
+    """JSON with lists of which some elements are too small or large, and a union."""
+    i = F.col("event_id")
+    u = F.when(i % 2 == 0, F.lit('"on"')).otherwise((i % 11).cast("string"))
+    made = F.concat(F.lit('{"z": 0, "xs": ['), i % 5, F.lit(", "), i % 7, F.lit('], "u": '), u, F.lit("}"))
+    return bridge.stream_events(spark, d).select("event_id", made.alias("json"))
+
+
+@query(
+    """select event_id, case when event_id % 5 < 1 then '$.xs[0]: too small' when event_id % 7 < 1 then '$.xs[1]: too small'
+    when event_id % 7 > 4 then '$.xs[1]: too large' when event_id % 2 = 1 and event_id % 11 < 5 then '$.u: fits none of the branches' end issue from e"""
+)
+def schema_list_issues(spark, d):
+    return lists(spark, d).select("event_id", schema.first_issue(F.col("json"), LISTS).alias("issue"))
+
+
+@query(
+    """select event_id, case when event_id % 5 >= 1 and event_id % 7 between 1 and 4 and (event_id % 2 = 0 or event_id % 11 >= 5) then
+    '{"xs":[' || (event_id % 5) || ',' || (event_id % 7) || '],"u":' || case when event_id % 2 = 0 then '"on"' else (event_id % 11)::varchar end || ',"d":9}'
+    end shaped from e"""
+)
+def schema_shaped(spark, d):
+    return lists(spark, d).select("event_id", schema.shaped(F.col("json"), LISTS).alias("shaped"))
+
+
+@query("select event_id, null::varchar problem from e")
+def schema_round_trip(spark, d):
+    return lists(spark, d).select("event_id", schema.round_trip_problem(F.col("json"), LISTS).alias("problem"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then '$.xs[1].b' else '' end problems from e")
+def schema_strict_lists(spark, d):
+    shape = schema.obj({"xs": schema.array(schema.obj({"a": schema.unknown()}))})
+    name = F.when(F.col("event_id") % 3 == 0, "b").otherwise("a")
+    made = F.concat(F.lit('{"xs": [{"a": 1}, {"'), name, F.lit('": 2}]}'))
+    e = bridge.stream_events(spark, d)
+    return e.select("event_id", F.array_join(schema.strict_problems(made, shape), ",").alias("problems"))
+
+
+@query(
+    """select k, case k % 6 when 0 then k * 1 when 1 then k * 1000 when 2 then k * 60000 when 3 then k * 3600000 end ms from x"""
+)
+def connector_durations(spark, d):
+    k = F.col("k")
+    units = F.array(*map(F.lit, ("ms", " secs", "minutes ", "  hour", "d", "MS")))
+    text_ = F.concat(k.cast("string"), F.get(units, (k % 6).cast("int")))
+    return X(spark, d).select("k", temporal.connector_ms(text_).alias("ms"))
+
+
+@query("select k, k % 8 in (4, 5, 7) again from x")
+def connector_retryable(spark, d):
+    k = F.col("k")
+    kinds = F.array(*map(F.lit, ("invalid", "notFound", "conflict", "denied", "unavailable", "upstream", "drift", "other")))
+    return X(spark, d).select("k", text.retryable(F.get(kinds, (k % 8).cast("int"))).alias("again"))
+
+
 @query("select coalesce(max(try_cast(regexp_extract(workflow_id, '-(\\d+)$', 1) as bigint)), 0) top from x where status <> 'running'")
 def highest_id_suffix(spark, d):
     rows = X(spark, d).where("status <> 'running'")

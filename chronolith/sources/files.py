@@ -53,3 +53,51 @@ def truncated(history: DataFrame, keep: int) -> DataFrame:
 def without(executions: DataFrame, gone: DataFrame) -> DataFrame:
     """Executions less deleted ones."""
     return executions.join(gone.select("workflow_id"), "workflow_id", "left_anti")
+
+
+def upserted(executions: DataFrame, changes: DataFrame, order: str) -> DataFrame:
+    """Executions with the latest change of each put in its place, new ones added.
+
+    ``changes`` holds the same columns and ``order``, which tells its rows of one id apart.
+    """
+    columns = executions.columns
+    rest = [c for c in columns if c != "workflow_id"]
+    last = changes.groupBy("workflow_id").agg(F.max_by(F.struct(*rest), order).alias("_c"))
+    last = last.select("workflow_id", *[F.col(f"_c.{c}").alias(c) for c in rest]).select(*columns)
+    return executions.join(last, "workflow_id", "left_anti").select(*columns).union(last)
+
+
+def rolled_over(executions: DataFrame, history: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(executions, history) once those of ``ids`` go on as a new run: the next run number, no
+    events; what is kept across runs stays."""
+    ids = ids.select("workflow_id").distinct()
+    mark = ids.withColumn("_rolled", F.lit(1))
+    rows = executions.join(mark, "workflow_id", "left")
+    rows = rows.withColumn("run_id", F.col("run_id") + F.coalesce("_rolled", F.lit(0))).select(*executions.columns)
+    return rows, history.join(ids, "workflow_id", "left_anti")
+
+
+def suggested(history: DataFrame, least: int = 4096) -> DataFrame:
+    """Executions whose history has grown to where a new run is suggested, with its length."""
+    n = history.groupBy("workflow_id").agg(F.count("*").alias("history_length"))
+    return n.where(F.col("history_length") >= least)
+
+
+def reset(executions: DataFrame, history: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(executions, history) rewound to the first ``keep`` events of each of ``points`` (workflow_id, keep).
+
+    A settled execution runs again, without its closing time, and failures count from none.
+    """
+    points = points.groupBy("workflow_id").agg(F.min("keep").alias("_keep"))
+    rows = executions.join(points, "workflow_id", "left")
+    back = F.col("_keep").isNotNull()
+    changed = {
+        "status": F.when(back, F.lit("running")).otherwise(F.col("status")),
+        "closed_at": F.when(~back, F.col("closed_at")),
+        "task_failures": F.when(back, F.lit(0)).otherwise(F.col("task_failures")),
+    }
+    w = Window.partitionBy("workflow_id").orderBy("pos")
+    # only rewound histories are numbered
+    cut = history.join(points, "workflow_id").withColumn("_nth", F.row_number().over(w)).where("_nth <= _keep")
+    left = history.join(points, "workflow_id", "left_anti").select(*history.columns)
+    return rows.withColumns(changed).select(*executions.columns), left.union(cut.select(*history.columns))
