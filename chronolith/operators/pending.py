@@ -63,6 +63,19 @@ def with_retry_state(pending_activities: DataFrame, attempts: DataFrame) -> Data
     )
 
 
+def with_checkpoint(pending_activities: DataFrame, beats: DataFrame) -> DataFrame:
+    """Pending activities with the last value their current attempt left, and when.
+
+    ``beats`` is (workflow_id, seq, attempt, ts, event_id, value).  A value goes with
+    its attempt; of equal times the highest event id counts.
+    """
+    last = beats.groupBy("workflow_id", "seq", "attempt").agg(
+        F.max_by(F.struct("value", "ts"), F.struct("ts", "event_id")).alias("_last")
+    )
+    rows = pending_activities.join(last, ["workflow_id", "seq", "attempt"], "left")
+    return rows.withColumns({"checkpoint": F.col("_last.value"), "checkpoint_at": F.col("_last.ts")}).drop("_last")
+
+
 def history_window(history: DataFrame, offset: int | None = None, limit: int = HISTORY_CAP) -> DataFrame:
     """Each execution's events ``offset`` to ``offset + limit``; the tail without an offset.
 
@@ -78,25 +91,34 @@ def history_window(history: DataFrame, offset: int | None = None, limit: int = H
 
 
 def detail(executions: DataFrame, history: DataFrame) -> DataFrame:
-    """One row per execution: summary, pending counts while running, outcome once settled."""
-    waiting = pending(history).groupBy("workflow_id", "run_id").agg(
-        *[F.count_if(F.col("kind") == k).alias(f"pending_{k}") for k in ("activity", "timer", "child")]
+    """One row per execution: summary, pending counts while running, outcome once settled.
+
+    The history is read once: events are grouped by the work they belong to, then by execution.
+    """
+    kinds = ("activity", "timer", "child")
+    work = history.withColumn("kind", kind_of(MARKERS | COMPLETIONS)).groupBy(*KEY).agg(
+        F.count("*").alias("_events"),
+        F.count_if(F.col("type").isin(*MARKERS)).alias("_sent"),
+        F.count_if(F.col("type").isin(*COMPLETIONS)).alias("_done"),
+        F.max(F.when(F.col("error").isNotNull(), F.struct("pos", "error"))).alias("_last"),
     )
-    length = history.groupBy("workflow_id", "run_id").agg(
-        F.count("*").alias("history_length"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("_error"),
+    waiting = (F.col("_sent") > 0) & (F.col("_done") == 0)
+    mine = work.groupBy("workflow_id", "run_id").agg(
+        F.sum("_events").alias("history_length"),
+        F.max("_last").alias("_last"),
+        *[F.count_if(waiting & (F.col("kind") == k)).alias(f"pending_{k}") for k in kinds],
     )
-    rows = executions.join(length, ["workflow_id", "run_id"], "left").join(waiting, ["workflow_id", "run_id"], "left")
+    rows = executions.join(mine, ["workflow_id", "run_id"], "left")
     running = F.col("status") == "running"
     shown = [
         F.when(running, F.coalesce(f"pending_{k}", F.lit(0))).otherwise(0).alias(f"pending_{k}")
-        for k in ("activity", "timer", "child")
+        for k in kinds
     ]
     return rows.select(
         "workflow_id", "run_id", "name", "status", "task_queue", "parent_id",
         F.coalesce("history_length", F.lit(0)).alias("history_length"),
         *shown,
-        F.when(F.col("status").isin("failed", "terminated"), F.col("_error")).alias("failure"),
+        F.when(F.col("status").isin("failed", "terminated"), F.col("_last.error")).alias("failure"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,21 @@ from chronolith.operators.listing import SUMMARY, ExecutionFilter, page, with_hi
 from chronolith.operators.pending import pending
 
 
-def list_page(executions: DataFrame, history: DataFrame, f: ExecutionFilter, limit=None, cursor=None) -> DataFrame:
-    """A page with its history lengths; only the page's histories are counted."""
+def list_page(
+    executions: DataFrame,
+    history: DataFrame | Callable[[DataFrame], DataFrame],
+    f: ExecutionFilter,
+    limit=None,
+    cursor=None,
+) -> DataFrame:
+    """A page with its history lengths; only the page's histories are counted.
+
+    ``history`` may be a function of the page's ids, for a source that can look
+    them up before it shuffles.
+    """
     rows = page(executions, f, limit, cursor)
-    mine = history.join(F.broadcast(rows.select("workflow_id")), "workflow_id", "left_semi")  # at most a page
+    ids = F.broadcast(rows.select("workflow_id"))  # at most a page
+    mine = history(ids) if callable(history) else history.join(ids, "workflow_id", "left_semi")
     return with_history_length(rows, mine).select(*SUMMARY)
 
 

@@ -49,7 +49,7 @@ from p
 
 
 def listed(spark, d, limit=None, cursor=None, **f):
-    return describe.list_page(X(spark, d), H(spark, d), ExecutionFilter(**f), limit, cursor)
+    return describe.list_page(X(spark, d), lambda ids: H(spark, d, ids), ExecutionFilter(**f), limit, cursor)
 
 
 @query(PAGE.format(where=f"status = 'running' and created_at >= {LOW} and created_at < {HIGH}", limit=200))
@@ -186,6 +186,25 @@ def pending_with_retry_state(spark, d):
     return rows.select("workflow_id", "seq", "name", "attempt", "last_error", "next_attempt_at")
 
 
+@query(
+    """, p as (select distinct workflow_id, seq from h where type = 'activityScheduled'),
+  c as (select distinct workflow_id, seq from h where type in ('activityCompleted', 'activityFailed')),
+  g as (select p.workflow_id, p.seq, coalesce(a.attempts, 0) + 1 attempt from p anti join c using (workflow_id, seq)
+    left join a using (workflow_id, seq)),
+  b as (select 'order-' || key workflow_id, event_id % 3 seq, event_id % 4 + 1 attempt, arg_max(value, (ts, event_id)) checkpoint,
+    max(ts) checkpoint_at from e group by 1, 2, 3)
+  select g.workflow_id, g.seq, g.attempt, checkpoint, checkpoint_at from g left join b using (workflow_id, seq, attempt)"""
+)
+def pending_with_checkpoint(spark, d):
+    """Events stand for heartbeats: of the third steps and fourth attempts by number."""
+    rows = pending.with_retry_state(pending.pending(H(spark, d), "activity"), bridge.attempts(spark, d))
+    beats = bridge.stream_events(spark, d).select(
+        bridge.workflow_id(F.col("key")).alias("workflow_id"), (F.col("event_id") % 3).alias("seq"),
+        (F.col("event_id") % 4 + 1).alias("attempt"), "ts", "event_id", "value",
+    )
+    return pending.with_checkpoint(rows, beats).select("workflow_id", "seq", "attempt", "checkpoint", "checkpoint_at")
+
+
 WINDOW = """, n as (select *, row_number() over (partition by workflow_id order by pos) - 1 as index,
   count(*) over (partition by workflow_id) total from h)
 select workflow_id, pos, type, index from n where """
@@ -624,6 +643,33 @@ def span_parked(spark, d):
     return spans.parked_spans(events.withColumn("cond_seq", F.col("event_id") % 2))
 
 
+@query(
+    """, p as (select *, lead(type) over q next_type, lead(ts) over q next_ts from e
+    where type in ('conditionParked', 'conditionUnparked') window q as (partition by key, event_id % 2 order by ts, event_id))
+  select key, event_id % 2 cond_seq, event_id, ts, case when next_type = 'conditionUnparked' then next_ts - ts end parked_ms
+  from p where type = 'conditionParked' and event_id % 3 = 0"""
+)
+def span_approval(spark, d):
+    """Every third park waits for an approval."""
+    events = bridge.stream_events(spark, d).withColumns(
+        {"cond_seq": F.col("event_id") % 2, "awaiting": F.when(F.col("event_id") % 3 == 0, "approval").otherwise("signal")}
+    )
+    return spans.approval_waits(events)
+
+
+@query(
+    """, u as (select *, row_number() over (partition by key order by ts, event_id) nth from e where type = 'conditionParked'),
+  g as (select *, row_number() over (partition by key order by ts, event_id) nth from e where type = 'signal')
+  select u.key, u.nth, u.event_id wait_id, g.event_id signal_id, g.value,
+    case when g.event_id is not null then greatest(u.ts, g.ts) end taken_at
+  from u left join g using (key, nth)"""
+)
+def signals_answered(spark, d):
+    """Parks stand for waits."""
+    events = bridge.stream_events(spark, d)
+    return spans.answered(events.where("type = 'conditionParked'"), events.where("type = 'signal'"))
+
+
 @query(
     """, r as (select *, row_number() over (partition by key order by ts, event_id) n from e where type = 'signal')
   select key, event_id, ts, value from r where n = 1"""
@@ -1028,3 +1074,46 @@ def stream_watcher(spark, d):
 )
 def stream_retry_timers(spark, d):
     return jobs.drained(jobs.retry_timers(_events(spark, d)))
+
+
+@query(
+    """, m as (select *, max(ts) over (partition by key order by event_id % 3 range between unbounded preceding and 1 preceding) mark from e)
+  select event_id, key, ts from m where mark is null or ts > mark"""
+)
+def stream_beyond_mark(spark, d):
+    """The events come in three runs of a watcher, each of which goes on from the last one's marks."""
+    base, rows = jobs.folder(spark), bridge.stream_events(spark, d).select("event_id", "key", "ts")
+    for n in range(3):
+        rows.where(F.col("event_id") % 3 == n).write.mode("append").parquet(f"{base}/in")
+        new = jobs.beyond_mark(jobs.stream(spark, f"{base}/in", files_at_once=1_000_000), "ts")  # a run is one batch
+        out = jobs.drained(new, base=base)
+    return out
+
+
+@query(
+    f""", g as (select key, ts, lag(ts) over (partition by key order by ts) before from e),
+  n as (select *, count(*) filter (before is null or ts - before > {bridge.DAY_MS}) over (partition by key order by ts rows unbounded preceding) nth from g),
+  r as (select key, count(*) beats, max(ts) last_beat from n group by key, nth)
+  select key, beats, last_beat, last_beat + {bridge.DAY_MS} expired_at from r where last_beat + {bridge.DAY_MS} <= (select max(ts) from e)"""
+)
+def stream_silences(spark, d):
+    """Keys that are silent for a day."""
+    return jobs.drained(jobs.silences(_events(spark, d), bridge.DAY_MS))
+
+
+@query(
+    f""", t as (select event_id // 3 timer, ts, case when event_id % 3 < 2 then 'timerStarted' else 'timerCanceled' end as type,
+    ts + event_id % 40 * {bridge.DAY_MS} fire_at from e where event_id % 3 < 2 or event_id % 5 = 0),
+  f as (select timer, arg_min(fire_at, (ts, fire_at)) filter (type = 'timerStarted') fire_at,
+    count(*) filter (type = 'timerCanceled') n from t group by 1)
+  select timer, fire_at from f where n = 0 and fire_at < (select max(ts) from t)"""
+)
+def stream_timers_fired(spark, d):
+    """Three events to a timer: two starts and, in every fifth place, a cancellation."""
+    n = F.col("event_id")
+    rows = _events(spark, d).where((n % 3 < 2) | (n % 5 == 0)).select(
+        F.expr("event_id div 3").alias("timer"), "ts",
+        F.when(n % 3 < 2, "timerStarted").otherwise("timerCanceled").alias("type"),
+        (F.col("ts") + n % 40 * bridge.DAY_MS).alias("fire_at"),
+    )
+    return jobs.drained(jobs.fired(rows))

@@ -61,16 +61,23 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per dispatched step of an execution, in a total order (seq from 0)."""
+def steps(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """One row per dispatched step of an execution, in a total order (seq from 0).
+
+    With ``of`` only the steps of its executions are numbered.
+    """
     order = [
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
     ]
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", *order)
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1
+    # the key has its final name before it is numbered, so that conditions on it reach the scan
+    line = line.withColumnRenamed("l_orderkey", "k")
+    if of is not None:
+        line = line.join(of, workflow_id(F.col("k")) == of.workflow_id, "left_semi")
+    seq = F.row_number().over(Window.partitionBy("k").orderBy(*order)) - 1
     return line.select(
-        F.col("l_orderkey").alias("k"),
+        "k",
         seq.cast("long").alias("seq"),
         F.when(F.col("l_linestatus") == "O", "activity").otherwise("timer").alias("kind"),
         F.col("l_returnflag").alias("flag"),
@@ -80,13 +87,14 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """(workflow_id, run_id, pos, ts, type, seq, child_id, error): all events of all executions.
 
     Steps give a dispatch marker, a start (activities), and a completion unless
-    they are pending; children give a marker and, mostly, an outcome.
+    they are pending; children give a marker and, mostly, an outcome.  ``of``, ids
+    of executions, keeps others out before anything is shuffled.
     """
-    s = steps(spark, sf_dir)
+    s = steps(spark, sf_dir, of)
     activity, done = F.col("kind") == "activity", F.col("flag") != "N"
     end = F.col("ts") + F.col("quantity") * 60_000 + 1000
     failed = activity & (F.col("flag") == "A")
@@ -99,20 +107,18 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
             error.cast("string").alias("error"),
         )
 
-    events = F.array(
-        event(0, F.col("ts"), F.when(activity, "activityScheduled").otherwise("timerStarted")),
-        F.when(activity, event(1, F.col("ts") + F.col("seq") * 500 + 250, F.lit("activityStarted"))),
+    none = F.array().cast("array<struct<pos:bigint,ts:bigint,type:string,error:string>>")
+    outcome = F.when(failed, "activityFailed").when(activity, "activityCompleted").otherwise("timerFired")
+    error = F.when(failed, F.concat(F.lit("error "), F.col("part_key") % 7))
+    # arrays without nulls: a filter behind explode would keep conditions above the window
+    events = F.concat(
+        F.array(event(0, F.col("ts"), F.when(activity, "activityScheduled").otherwise("timerStarted"))),
         F.when(
-            done,
-            event(
-                3,
-                end,
-                F.when(failed, "activityFailed").when(activity, "activityCompleted").otherwise("timerFired"),
-                F.when(failed, F.concat(F.lit("error "), F.col("part_key") % 7)),
-            ),
-        ),
+            activity, F.array(event(1, F.col("ts") + F.col("seq") * 500 + 250, F.lit("activityStarted")))
+        ).otherwise(none),
+        F.when(done, F.array(event(3, end, outcome, error))).otherwise(none),
     )
-    own = s.select("k", "seq", F.explode(events).alias("e")).where("e is not null")
+    own = s.select("k", "seq", F.explode(events).alias("e"))
     own = own.select(
         workflow_id(F.col("k")).alias("workflow_id"),
         F.lit(0).alias("run_id"),
@@ -124,6 +130,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "e.error",
     )
     c = executions(spark, sf_dir).where("parent_id is not null")
+    if of is not None:
+        c = c.join(of, c.parent_id == of.workflow_id, "left_semi")
     settled = (F.col("status") != "running") & (F.col("k") % 3 != 0)
     parts = F.array(
         F.struct(

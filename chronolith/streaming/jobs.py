@@ -17,15 +17,22 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stream(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
-    """A folder of Parquet files as a stream, oldest files first."""
+def stream(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
+    """A folder of Parquet files as a stream, oldest files first.
+
+    The files of a batch bound what one key can bring at a time.
+    """
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
-def drained(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all input that there is, and read what it wrote."""
-    spark, base = df.sparkSession, folder(df.sparkSession)
+def drained(df: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Run a stream over all input that there is, and read what it wrote.
+
+    Given the folder of an earlier run, the stream goes on from that run's state.
+    """
+    spark = df.sparkSession
+    base = base or folder(spark)
     query = (
         df.writeStream.outputMode(mode)
         .format("parquet")
@@ -38,9 +45,19 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def signals(events: DataFrame) -> DataFrame:
-    """Each signal once: (key, event_id, ts, value); the source triple removes repeats."""
-    return events.where("type = 'signal'").select("key", "event_id", "ts", "value").dropDuplicates(["key", "event_id"])
+def signals(
+    events: DataFrame, name: str = "signal", since: int | None = None, until: int | None = None
+) -> DataFrame:
+    """Each signal once: (key, event_id, ts, value); the source triple removes repeats.
+
+    ``since`` is the first instant that counts, ``until`` the first that doesn't.
+    """
+    rows = events.where(F.col("type") == name)
+    if since is not None:
+        rows = rows.where(F.col("ts") >= since)
+    if until is not None:
+        rows = rows.where(F.col("ts") < until)
+    return rows.select("key", "event_id", "ts", "value").dropDuplicates(["key", "event_id"])
 
 
 def retry_timers(events: DataFrame) -> DataFrame:
@@ -67,6 +84,7 @@ def retry_timers(events: DataFrame) -> DataFrame:
 
     return (
         events.where(F.col("type").isin("activityCompleted", "activityRetryScheduled"))
+        .select("key", "event_id", "ts", "type")
         .groupBy("key")
         .applyInPandasWithState(
             run, "key long, event_id long, attempt long, wait_ms long, fire_at long", "count long", "append",
@@ -79,3 +97,94 @@ def watch(spark: SparkSession, path: str, key: str, mark: int | None) -> DataFra
     """Items beyond a mark, as a watcher emits them; items at or below it are dropped."""
     rows = stream(spark, path)
     return rows if mark is None else rows.where(F.col(key) > mark)
+
+
+def beyond_mark(items: DataFrame, cursor: str) -> DataFrame:
+    """Keyed state: items above the highest ``cursor`` (a number) that their ``key`` had in earlier batches.
+
+    The mark is state of the stream, so a restarted watcher goes on where it
+    stopped.  Items of one batch don't hide each other; a null cursor is late.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (mark,) = state.get if state.exists else (None,)
+        top = mark
+        for rows in batches:  # one Arrow batch at a time, however many items a key has
+            rows = rows[rows[cursor].notna()]
+            if mark is not None:
+                rows = rows[rows[cursor] > mark]
+            if len(rows):
+                top = int(rows[cursor].max()) if top is None else max(top, int(rows[cursor].max()))
+                yield rows
+        if top is not None:
+            state.update((top,))
+
+    return items.groupBy("key").applyInPandasWithState(
+        run, items.schema, "mark long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def silences(beats: DataFrame, timeout_ms: int, late_ms: int = 0) -> DataFrame:
+    """Heartbeat deadlines that passed: (key, beats, last_beat, expired_at).
+
+    ``beats`` has a ``key`` and ``ts`` in milliseconds.  Each beat moves the
+    deadline to ``timeout_ms`` behind it; one at the deadline is still in time.
+    An expiry comes out once event time, less ``late_ms``, is past it, so a key
+    whose deadline may yet move gives nothing.  Sessions are built-in state:
+    they merge in part before the shuffle.
+    """
+    gap = f"{timeout_ms} milliseconds"
+    at = F.timestamp_millis("ts")
+    return (
+        beats.select("key", at.alias("at"))
+        .withWatermark("at", f"{late_ms} milliseconds")
+        .groupBy("key", F.session_window("at", gap).alias("alive"))
+        .agg(F.count("*").alias("beats"))
+        .select(
+            "key", "beats",
+            (F.unix_millis("alive.end") - timeout_ms).alias("last_beat"),
+            F.unix_millis("alive.end").alias("expired_at"),
+        )
+    )
+
+
+def fired(timers: DataFrame, late_ms: int = 0) -> DataFrame:
+    """Keyed state: durable timers that fire once event time is past them: (timer, fire_at).
+
+    ``timers`` has ``timer``, ``ts``, ``type`` (timerStarted or timerCanceled) and
+    ``fire_at``, in milliseconds.  The earliest start of a batch sets the time and
+    later ones change nothing; one that is due already fires at once; a timer that
+    is cancelled before it fires never does.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fire_at, over = state.get if state.exists else (None, False)
+        if state.hasTimedOut:
+            over = True
+            yield pd.DataFrame({"timer": [key[0]], "fire_at": [fire_at]})
+        first = None
+        for rows in batches:
+            over = over or bool((rows["type"] == "timerCanceled").any())
+            starts = rows[rows["type"] == "timerStarted"].sort_values(["ts", "fire_at"])
+            if len(starts):
+                start = (int(starts["ts"].iloc[0]), int(starts["fire_at"].iloc[0]))
+                first = start if first is None else min(first, start)
+        if fire_at is None and first is not None:
+            fire_at = first[1]
+        if fire_at is not None and not over:
+            if fire_at <= state.getCurrentWatermarkMs():
+                over = True
+                yield pd.DataFrame({"timer": [key[0]], "fire_at": [fire_at]})
+            else:
+                state.setTimeoutTimestamp(fire_at)
+        state.update((fire_at, over))
+
+    return (
+        timers.where(F.col("type").isin("timerStarted", "timerCanceled"))
+        .select("timer", "ts", "type", "fire_at", F.timestamp_millis("ts").alias("at"))
+        .withWatermark("at", f"{late_ms} milliseconds")
+        .groupBy("timer")
+        .applyInPandasWithState(
+            run, "timer long, fire_at long", "fire_at long, over boolean", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )
