@@ -1105,8 +1105,8 @@ def stream_silences(spark, d):
     f""", t as (select event_id // 3 timer, ts, case when event_id % 3 < 2 then 'timerStarted' else 'timerCanceled' end as type,
     ts + event_id % 40 * {bridge.DAY_MS} fire_at from e where event_id % 3 < 2 or event_id % 5 = 0),
   f as (select timer, arg_min(fire_at, (ts, fire_at)) filter (type = 'timerStarted') fire_at,
-    count(*) filter (type = 'timerCanceled') n from t group by 1)
-  select timer, fire_at from f where n = 0 and fire_at < (select max(ts) from t)"""
+    min(ts) filter (type = 'timerCanceled') canceled from t group by 1)
+  select timer, fire_at from f where (canceled is null or canceled >= fire_at) and fire_at < (select max(ts) from t)"""
 )
 def stream_timers_fired(spark, d):
     """Three events to a timer: two starts and, in every fifth place, a cancellation."""

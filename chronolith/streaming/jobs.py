@@ -153,38 +153,41 @@ def fired(timers: DataFrame, late_ms: int = 0) -> DataFrame:
 
     ``timers`` has ``timer``, ``ts``, ``type`` (timerStarted or timerCanceled) and
     ``fire_at``, in milliseconds.  The earliest start of a batch sets the time and
-    later ones change nothing; one that is due already fires at once; a timer that
-    is cancelled before it fires never does.
+    later ones change nothing; one that is due already fires at once.  A timer that
+    is cancelled at an instant before its time never fires, so the result depends
+    on event time and not on the batches.  Rows without ``ts``, and starts without
+    ``fire_at``, are left out.  What a timer did is kept, so that it fires once.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fire_at, over = state.get if state.exists else (None, False)
-        if state.hasTimedOut:
-            over = True
-            yield pd.DataFrame({"timer": [key[0]], "fire_at": [fire_at]})
+        fire_at, canceled, done = state.get if state.exists else (None, None, False)
         first = None
         for rows in batches:
-            over = over or bool((rows["type"] == "timerCanceled").any())
+            stops = rows.loc[rows["type"] == "timerCanceled", "ts"]
+            if len(stops):
+                canceled = int(stops.min()) if canceled is None else min(canceled, int(stops.min()))
             starts = rows[rows["type"] == "timerStarted"].sort_values(["ts", "fire_at"])
             if len(starts):
                 start = (int(starts["ts"].iloc[0]), int(starts["fire_at"].iloc[0]))
                 first = start if first is None else min(first, start)
         if fire_at is None and first is not None:
             fire_at = first[1]
-        if fire_at is not None and not over:
+        stopped = fire_at is not None and canceled is not None and canceled < fire_at
+        if fire_at is not None and not done and not stopped:
             if fire_at <= state.getCurrentWatermarkMs():
-                over = True
+                done = True
                 yield pd.DataFrame({"timer": [key[0]], "fire_at": [fire_at]})
             else:
                 state.setTimeoutTimestamp(fire_at)
-        state.update((fire_at, over))
+        state.update((fire_at, canceled, done))
 
     return (
-        timers.where(F.col("type").isin("timerStarted", "timerCanceled"))
+        timers.where("ts is not null and (type = 'timerCanceled' or type = 'timerStarted' and fire_at is not null)")
         .select("timer", "ts", "type", "fire_at", F.timestamp_millis("ts").alias("at"))
         .withWatermark("at", f"{late_ms} milliseconds")
         .groupBy("timer")
         .applyInPandasWithState(
-            run, "timer long, fire_at long", "fire_at long, over boolean", "append", GroupStateTimeout.EventTimeTimeout
+            run, "timer long, fire_at long", "fire_at long, canceled long, done boolean", "append",
+            GroupStateTimeout.EventTimeTimeout,
         )
     )

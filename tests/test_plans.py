@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.operators import differ, listing, pending
+from chronolith import registry
+from chronolith.operators import differ, listing, pending, spans
 from chronolith.operators.listing import ExecutionFilter
 from chronolith.streaming import jobs
 from tests.test_golden import executions, history
@@ -77,3 +78,72 @@ def test_signals_are_delivered_once(spark, tmp_path):
     rows.repartition(3).write.parquet(f"{tmp_path}/in")
     out = jobs.drained(jobs.signals(jobs.stream(spark, f"{tmp_path}/in", files_at_once=1)))
     assert out.groupBy("event_id").count().where(F.col("count") > 1).count() == 0 and out.count() == 4
+
+
+def in_order(spark, tmp_path, parts, schema):
+    """A folder whose files are read one after the other, a part each."""
+    os.makedirs(tmp_path / "in", exist_ok=True)
+    for n, rows in enumerate(parts):
+        path = tmp_path / f"part{n}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path))
+        (file,) = [f for f in os.listdir(path) if f.endswith(".parquet")]
+        os.rename(path / file, tmp_path / "in" / f"{n:03}.parquet")
+        os.utime(tmp_path / "in" / f"{n:03}.parquet", (time.time() + n, time.time() + n))
+    return jobs.stream(spark, str(tmp_path / "in"), files_at_once=1)
+
+
+def test_marks_hold_between_batches(spark, tmp_path):
+    parts = [[(1, 5), (1, 3), (2, 1)], [(1, 5), (1, 6), (2, 0), (3, None)], [(1, 4), (2, 2), (3, 1)]]
+    out = jobs.drained(jobs.beyond_mark(in_order(spark, tmp_path, parts, "key long, n long"), "n"))
+    assert sorted(map(tuple, out.collect())) == [(1, 3), (1, 5), (1, 6), (2, 1), (2, 2), (3, 1)]
+
+
+def test_beats_move_the_deadline_between_batches(spark, tmp_path):
+    parts = [[(1, 1000), (2, 1000)], [(1, 1100), (2, 1050), (1, 1201)], [(3, 9000)]]
+    out = jobs.drained(jobs.silences(in_order(spark, tmp_path, parts, "key long, ts long"), 100))
+    # a beat at the deadline is in time, one behind it is not; the last beat may still be followed
+    assert sorted((r.key, r.beats, r.expired_at) for r in out.collect()) == [(1, 1, 1301), (1, 2, 1200), (2, 2, 1150)]
+
+
+def test_timers_fire_once(spark, tmp_path):
+    start, stop = "timerStarted", "timerCanceled"
+    parts = [
+        [(1, 1000, start, 2000), (2, 1000, start, 2000), (3, 1000, start, 99_000), (4, 1000, start, 1500)],
+        [(1, 1100, start, 1200), (2, 1100, stop, None), (6, 1100, start, 1100)],
+        [(5, 5000, start, 1200)],  # due before it starts
+        [(1, 5000, start, 6000), (4, 5000, stop, None), (7, 8000, start, 9000)],
+    ]
+    schema = "timer long, ts long, type string, fire_at long"
+    out = jobs.drained(jobs.fired(in_order(spark, tmp_path, parts, schema)))
+    assert sorted(map(tuple, out.collect())) == [(1, 2000), (4, 1500), (5, 1200), (6, 1100)]
+
+
+def test_streams_without_rows(spark, tmp_path):
+    events = in_order(spark, tmp_path, [[]], "timer long, key long, ts long, type string, fire_at long")
+    for job in (jobs.fired(events), jobs.silences(events, 100), jobs.beyond_mark(events, "ts")):
+        assert jobs.drained(job).count() == 0
+
+
+def test_waits_take_signals_in_order(spark):
+    schema = "key long, event_id long, ts long, value double"
+    waits = spark.createDataFrame([(1, 1, 10, None), (1, 2, 20, None), (1, 3, 30, None), (2, 4, 10, None)], schema)
+    given = spark.createDataFrame([(1, 8, 5, 0.5), (1, 9, 25, 1.5)], schema)
+    out = spans.answered(waits, given).select("wait_id", "signal_id", "taken_at")
+    assert sorted(map(tuple, out.collect())) == [(1, 8, 10), (2, 9, 25), (3, None, None), (4, None, None)]
+
+
+def test_checkpoints_go_with_their_attempt(spark):
+    work = spark.createDataFrame([("w", 0, 2), ("w", 1, 1)], "workflow_id string, seq long, attempt long")
+    beats = spark.createDataFrame(
+        [("w", 0, 1, 9, 1, 1.0), ("w", 0, 2, 5, 2, 2.0), ("w", 0, 2, 5, 3, 3.0), ("w", 0, 2, 4, 4, 4.0)],
+        "workflow_id string, seq long, attempt long, ts long, event_id long, value double",
+    )
+    out = pending.with_checkpoint(work, beats).select("seq", "checkpoint", "checkpoint_at")
+    assert sorted(map(tuple, out.collect())) == [(0, 3.0, 5), (1, None, None)]
+
+
+def test_detail_and_pages_shuffle_little(spark, sf_dir):
+    detail = registry.QUERIES["describe_detail"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert detail.count("l_linenumber") and detail.count("Window [") == 1
+    page = registry.QUERIES["list_page1"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert page.index("Window [") < page.index("LeftSemi")  # the steps of other executions go before they are numbered
